@@ -33,7 +33,7 @@ class SparkSource:
 
     def _guarded(self, df: DataFrame) -> DataFrame:
         if self.max_bytes is not None:
-            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
             if size > self.max_bytes:
                 raise ValueError(f"the scan is planned at {size} bytes; the limit is {self.max_bytes}")
         return df
