@@ -35,7 +35,7 @@ class Settings:
     max_features: int = 1_000
     min_toxic_docs: int = 8
     min_log_odds: float = 2.0
-    min_z: float = 4.0
+    min_z: float = 5.0
     gap: int = 8  # background tokens kept between hits in training sequences
     max_sequence: int = 96  # tokens of a training sequence
     steps: int = 150
@@ -264,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     counts = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("c"))
     named = counts.mapInArrow(_features_of, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    share, n = n1 / (n0 + n1), F.col("t") + F.col("c")
+    z = (F.col("t") - n * share) / F.sqrt(n * share * (1 - share))  # against toxic rows at their share
     least = max(2, min(settings.min_toxic_docs, n1 // 8))
     found = named.where(F.col("t") >= least).select("feature", odds.alias("odds"), z.alias("z")).where((F.col("odds") >= settings.min_log_odds) & (F.col("z") >= settings.min_z))
     names = [r["feature"] for r in found.orderBy(F.desc("z"), "feature").limit(settings.max_features).collect()]
