@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import guarded
 
 BUCKETS = 16_384
-THRESHOLD = -0.35
+THRESHOLD = -0.2
 MIN_WORDS, REPEAT_SHARE = 50, 50
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
