@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import decontam, secrets, sentencepiece_sa, simhash, toxicity
-from evenkeel.llm.common import durable, new_path, table, without
+from evenkeel.llm.common import durable, free, new_path, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold stay; null texts score as empty ones."""
+    """Documents that score below the threshold stay, with all their columns; null texts score as empty ones."""
+    own = free(docs, "score")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.Settings().threshold).drop("score")
+    return toxicity.score(docs, model, score_col=own).where(F.col(own) < toxicity.Settings().threshold).drop(own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

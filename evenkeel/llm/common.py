@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def rest(df: DataFrame, *taken: str) -> list[str]:
+    """Columns of df without those named in taken, in either case: an input column gives way to a result column of its name."""
+    gone = {x.lower() for x in taken}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def free(df: DataFrame, stem: str) -> str:
+    """stem, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def quoted(names: list[str]) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """mapInArrow for a function that goes by position, so names with dots or names that occur twice do no harm."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
-    """schema with the fields of ddl behind it; names that are taken already raise ValueError."""
-    more = StructType.fromDDL(ddl)
-    if taken := {x.lower() for x in schema.names} & {x.lower() for x in more.names}:
-        raise ValueError(f"the input has columns of the result's names already: {', '.join(sorted(taken))}")
-    return StructType([*schema.fields, *more.fields])
+    """schema with the fields of ddl behind it."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,5 +97,6 @@ def guarded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key is not among ids.  Only ids is hashed in memory; the texts stream through the join."""
-    gone = ids.select(F.col(key).alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(guarded(gone), docs[key] == F.col("__gone"), "left_anti")
+    name = free(docs, "__gone")
+    gone = ids.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(guarded(gone), docs[key] == F.col(name), "left_anti")

@@ -95,7 +95,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: in
 
     ids = cand.select(F.col("id").alias("cid")).distinct()
     found = toks.join(guarded(ids), F.col("id").eqNullSafe(F.col("cid")), "left_semi")
-    aligned = found.join(cand.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid"))).join(guarded(items.select(F.col("item").alias("i2"), F.col("n").alias("n2"), F.col("toks").alias("itoks"))), F.col("item").eqNullSafe(F.col("i2")) & (F.col("n") == F.col("n2")))
+    aligned = found.join(cand.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid"))).join(guarded(items.select(F.col("item").alias("i2"), F.col("n").alias("n2"), F.col("toks").alias("itoks")), 50_000), F.col("item").eqNullSafe(F.col("i2")) & (F.col("n") == F.col("n2")))
     size = F.col("b") - F.col("a")
     pairs = F.arrays_zip(F.slice("itoks", F.col("a") + 1, size).alias("x"), F.slice("toks", F.greatest(F.col("a") + F.col("diag"), F.lit(0)) + 1, size).alias("y"))
     slots = F.array_distinct(F.filter(pairs, lambda p: _slot(p["x"])))

@@ -105,4 +105,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_chat, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_secrets, op8_warc, op9_simhash, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+
+_ESCAPED = r"regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')"
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": rf"""
+        WITH rows AS (
+            SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        sized AS (SELECT *, 4 + length(replace(replace(replace(replace(replace(role, '%', '%25'), ':', '%3A'), '#', '%23'), '<', '%3C'), chr(10), '%0A')) + 2 + length({_ESCAPED}) + 9 AS size FROM rows),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+                coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(size) AS BIGINT) AS formatted_chars
+            FROM sized GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole""",
+    "op8_warc": """
+        WITH digests AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+        bits AS (SELECT *, CAST(CAST(unhex(sha) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY sha) AS first FROM digests)
+        SELECT page_id, payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(substr(bits, CAST(5 * i + 1 AS INT), 5) AS BIT) AS INT), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM bits""",
+}

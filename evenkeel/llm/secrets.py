@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, exists, guarded, small
+from .common import durable, exists, free, guarded, quoted, small
 
 _SALT = 16
 _NO_ID = -(1 << 63)
@@ -105,17 +105,18 @@ class BlobLedger:
         return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
     def redacted(self, docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-        """docs, all of them and with the same columns, with the secrets of scanned blobs redacted and size_col counted anew.
+        """docs, all of them and with the same columns, whatever their names, with the secrets of scanned blobs redacted and size_col counted anew.
 
         Blobs with findings are few, so the texts stream past them: only the addresses of those blobs are hashed.
         """
-        some = self.findings().where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-        met = docs.withColumn("__address", address(F.col(text_col))).join(guarded(some, 50_000), F.col("__address") == F.col("__blob"), "left")
-        clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans")))
+        blob, spans, own = (free(docs, x) for x in ("__blob", "__spans", "__address"))
+        some = self.findings().where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob])
+        met = docs.withColumn(own, address(F.col(text_col))).join(guarded(some, 50_000), F.col(own) == F.col(blob), "left")
+        clean = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col(spans)))
         out = met.withColumn(text_col, clean)
         if size_col in docs.columns:
-            out = out.withColumn(size_col, F.when(F.col("__spans").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
-        return out.select(*docs.columns)
+            out = out.withColumn(size_col, F.when(F.col(spans).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+        return out.select(*quoted(docs.columns))
 
 
 def joined(spans: Column) -> Column:

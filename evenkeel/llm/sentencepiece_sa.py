@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, map_arrow, quoted, rest
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -386,18 +386,19 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text") ->
     """docs without text_col, with ids (array<int>), n_ids, n_chars_decoded and exact: whether decoding gives the text back.
 
     exact is false only for texts that hold the piece space character itself, which decodes to a space.  Null text
-    counts as empty: no ids, exact.  Other columns pass through, repeated rows are encoded alike; one pass, no shuffle.
+    counts as empty: no ids, exact.  Input columns of the result's names are replaced, others pass through, repeated
+    rows are encoded alike, an empty table gives an empty table; one pass, no shuffle.
     The model file (0.5 MB) is read on the driver and broadcast.
     """
     with open(model_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c != text_col]
-    schema = extended(docs.select(*rest).schema, "ids array<int>, n_ids long, n_chars_decoded long, exact boolean")
+    others = docs.select(*quoted(rest(docs, text_col, "ids", "n_ids", "n_chars_decoded", "exact")))
+    schema, k = extended(others.schema, "ids array<int>, n_ids long, n_chars_decoded long, exact boolean"), len(others.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Model.parse(raw.value))
         for b in batches:
-            texts = [t or "" for t in b.column(len(rest)).to_pylist()]
+            texts = [t or "" for t in b.column(k).to_pylist()]
             for i, j in _slices(b, texts):
                 part = texts[i:j]
                 offsets, ids = codec.encode(part)
@@ -408,15 +409,16 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text") ->
                     pa.array([len(t) for t in back], pa.int64()),
                     pa.array([x == y for x, y in zip(part, back, strict=True)], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[: len(rest)]), *new], schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:k]), *new], schema.names)
 
-    return docs.select(*rest, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*quoted(others.columns), F.col(text_col).cast("string")), run, schema)
 
 
 def decode(rows: DataFrame, model_file: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """rows with text_col decoded from ids_col; null ids decode to null."""
+    """rows with text_col decoded from ids_col, in place of an input column of that name; null ids decode to null."""
     with open(model_file, "rb") as f:
         raw = rows.sparkSession.sparkContext.broadcast(f.read())
+    rows = rows.select(*quoted(rest(rows, text_col)))
     schema = extended(rows.schema, f"`{text_col}` string")
     k = rows.columns.index(ids_col)
 
@@ -428,4 +430,4 @@ def decode(rows: DataFrame, model_file: str = MODEL, ids_col: str = "ids", text_
             texts = codec.decode(offsets, np.array([i for x in lists for i in x or ()], np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t if x is not None else None for t, x in zip(texts, lists, strict=True)], pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -1,9 +1,10 @@
 """Token counts as delta-maintained rollups.
 
-A ledger keeps the count of every live document; totals by source, language and tokenizer version are sums of signed
-deltas.  A batch of inserts, deletes and revised counts is turned into deltas against the ledger and written as one
-table under its batch id; a marker written last commits it.  A committed batch is never applied again, and what a broken
-attempt left behind is replaced, so batches can be repeated at will.
+A ledger keeps the count of every live document.  A batch of inserts, deletes and revised counts is turned into signed
+deltas against the ledger; these rows, and their sums by source, language and tokenizer version, are written under the
+batch id, the sums last, whose marker commits the batch.  Totals add up the sums of committed batches, so reading them
+never touches a document's row.  A committed batch is never applied again, and what a broken attempt left behind is
+replaced, so batches can be repeated at will.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, exists, extended
+from .common import delete, exists, extended, map_arrow, quoted, rest
 
 # Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = "/opt/tokenizers"
 KEYS = ("source", "lang", "tokenizer")
 CHANGES = "doc_id long, op string, seq long, source string, lang string, tokenizer string, n_tokens long"
-DELTAS = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long"
+SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+DELTAS = "doc_id long, " + SUMS
 _CACHE = 300_000
 
 
@@ -54,18 +56,18 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k", text_col: str = "text", folder: str = TOKENIZERS) -> DataFrame:
-    """docs without text_col, with n_tokens.  Null text: 0 tokens.  The vocabulary (under 1 MB) is broadcast once."""
+    """docs without text_col, with n_tokens, which replaces an input column of that name.  Null text: 0 tokens.  The vocabulary (under 1 MB) is broadcast once."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(f"{folder}/{tokenizer}.tiktoken"))
-    rest = [c for c in docs.columns if c != text_col]
-    schema = extended(docs.select(*rest).schema, "n_tokens long")
+    others = docs.select(*quoted(rest(docs, text_col, "n_tokens")))
+    schema, k = extended(others.schema, "n_tokens long"), len(others.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(ranks.value)
         for b in batches:
-            out = pa.array([count(t) for t in b.column(len(rest)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], out], schema.names)
+            out = pa.array([count(t) for t in b.column(k).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], out], schema.names)
 
-    return docs.select(*rest, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*quoted(others.columns), F.col(text_col).cast("string")), run, schema)
 
 
 class Rollup:
@@ -80,16 +82,20 @@ class Rollup:
         return f"{self.path}/batch={batch}"
 
     def committed(self, batch: str) -> bool:
-        return exists(self.spark, f"{self._dir(batch)}/_SUCCESS")  # which the writer leaves last, after its files
+        return exists(self.spark, f"{self._dir(batch)}/sums/_SUCCESS")  # which the writer leaves last, after its files
 
-    def deltas(self) -> DataFrame:
-        """The signed rows of all committed batches."""
+    def _read(self, part: str, schema: str) -> DataFrame:
+        """One part, rows or sums, of all committed batches."""
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         dirs = [str(s.getPath()) for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = sorted(d for d in dirs if exists(self.spark, f"{d}/_SUCCESS"))
-        return self.spark.read.schema(DELTAS).parquet(*done) if done else self.spark.createDataFrame([], DELTAS)
+        done = sorted(f"{d}/{part}" for d in dirs if exists(self.spark, f"{d}/sums/_SUCCESS"))
+        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
+
+    def deltas(self) -> DataFrame:
+        """The signed rows of all committed batches."""
+        return self._read("rows", DELTAS)
 
     def ledger(self) -> DataFrame:
         """Live documents with the keys and counts they have now."""
@@ -97,7 +103,11 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, language and tokenizer version; groups without a document are left out."""
-        return self.deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
+        return self._summed(self._read("sums", SUMS)).where("n_docs <> 0")
+
+    @staticmethod
+    def _summed(signed: DataFrame) -> DataFrame:
+        return signed.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Apply changes once: (doc_id, op, seq, source, lang, tokenizer, n_tokens), op insert, delete or revise.
@@ -126,5 +136,7 @@ class Rollup:
             out = plus.unionByName(minus)
         if exists(self.spark, self._dir(batch)):
             delete(self.spark, self._dir(batch))
-        out.write.parquet(self._dir(batch))
+        rows = f"{self._dir(batch)}/rows"
+        out.write.parquet(rows)
+        self._summed(self.spark.read.schema(DELTAS).parquet(rows)).write.parquet(f"{self._dir(batch)}/sums")
         return True

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended, held_out
+from .common import durable, extended, held_out, map_arrow, quoted, rest
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 400_000
@@ -325,13 +325,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
-    """docs with score (double), and on demand toxic_spans (array of start, end, marginal in code points).
+def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, score_col: str = "score") -> DataFrame:
+    """docs with score_col (double), and on demand toxic_spans (array of start, end, marginal in code points).
 
-    Null text scores as empty text.  One pass without a shuffle; all other columns pass through unchanged.
+    Null text scores as empty text.  One pass without a shuffle; input columns of the result's names are replaced, all
+    others pass through unchanged, repeated rows are scored alike, an empty table gives an empty table.
     """
     kind = ", toxic_spans array<struct<start:int,end:int,p:double>>" if spans else ""
-    schema = extended(docs.schema, "score double" + kind)
+    docs = docs.select(*quoted(rest(docs, score_col, *["toxic_spans"] * spans)))
+    schema = extended(docs.schema, f"`{score_col}` double" + kind)
     i = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,4 +345,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
                 new.append(pa.array([[dict(zip(("start", "end", "p"), s, strict=True)) for s in tagger.spans(t)] for t in texts], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

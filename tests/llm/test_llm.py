@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evenkeel.llm import chat, decontam, graph, quality_classifier, quality_rules, queries, secrets, sentencepiece_sa, simhash, token_counts, toxicity, warc
-from evenkeel.llm.common import held_out, new_path
+from evenkeel.llm.common import held_out, new_path, without
 
 SF = "/root/testdata/sf0.01"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -442,3 +442,45 @@ def test_pipeline(spark, docs):
     assert kept["decontamination"][1] == kept["decontamination"][0] - leaked
     assert kept["secrets"][0] == kept["secrets"][1] == kept["sentencepiece"][1]
     assert d.where("not exact").count() == 0
+
+
+# Contracts that hold for several operators
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cur = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(cur.fetchall()) == sorted(tuple(r[c] for c in names) for r in df.collect())
+
+
+def test_columns_of_clashing_names(spark):
+    clash = ("score", "toxic_spans", "n_tokens", "ids", "n_ids", "exact", "__gone", "__spans", "__blob", "__address", "a.b")
+    src = spark.createDataFrame([(1, "one password=abcdefgh1", *clash), (2, None, *clash)], ["doc_id", "text", *clash])
+    assert [r["score"] for r in toxicity.score(src, toxicity.Model(), spans=True).collect()] == [toxicity.Tagger(toxicity.Model()).score(t) for t in ("one password=abcdefgh1", "")]
+    assert [r["n_tokens"] for r in token_counts.count_tokens(src).collect()][1] == 0
+    coded = sentencepiece_sa.encode(src)
+    assert [r["exact"] for r in coded.collect()] == [True, True] and coded.columns.count("ids") == 1 and "a.b" in coded.columns
+    ledger = secrets.BlobLedger(spark, new_path(spark, "ledger"))
+    ledger.scan(src)
+    out = ledger.redacted(src)
+    assert out.columns == src.columns and {r["doc_id"]: (r["text"], r["__spans"], r["__blob"]) for r in out.collect()} == {1: ("one [secret]", "__spans", "__blob"), 2: (None, "__spans", "__blob")}
+    assert [r["doc_id"] for r in without(src, spark.createDataFrame([(1,)], "doc_id long")).collect()] == [2]
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, docs):
+    import corpus_pipeline as cp
+
+    d = docs.withColumns({c: F.lit(c) for c in ("score", "__gone", "__spans", "component_id", "blob")})
+    columns = d.columns
+    for name, stage in cp.STAGES[:-1]:
+        d = cp.durable(stage(spark, d, SF), f"clash-{name}")
+        assert d.columns == columns
+        assert d.where("score <> 'score' or blob <> 'blob'").count() == 0
