@@ -45,12 +45,14 @@ def features(text: Column) -> list[Column]:
 def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], list[float], list[float]]:
     """(means, scales, weights with the bias first) from labelled rows outside the held-out fold, at most max_train_docs by hash of the id.
 
-    labels(id_col, quality): of repeated ids the smallest label counts.  Without rows of both labels: weights of 0 and
-    the share of good rows as bias.
+    labels(id_col, quality): of repeated ids the smallest label counts.  Of documents with the same id the one with the
+    largest features counts, so a repeated id is one training row.  Without rows of both labels: weights of 0 and the
+    share of good rows as bias.
     """
     ids = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(max_train_docs)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id").select("y", *features(F.col("__text"))).collect()
+    seen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id").select("__id", "y", *features(F.col("__text")))
+    rows = seen.groupBy("__id").agg(F.max(F.struct("y", *FEATURES)).alias("r")).select("r.*").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([float(r["y"] == 1) for r in rows])
     order = np.lexsort((*x.T, y))

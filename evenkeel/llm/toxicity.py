@@ -249,12 +249,13 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on labelled rows outside the held-out fold, at most settings.max_train_docs of them by hash of the id.
 
-    labels(id_col, toxic): repeated ids count as toxic if any row is; null ids and null labels are no labels.
+    labels(id_col, toxic): repeated ids count as toxic if any row is; null ids and null labels are no labels.  Of
+    documents with the same id the one with the largest text counts, so a repeated id is one training row.
     Without a toxic and a clean training row the model scores every text alike, near the share of toxic rows.
     """
     ids = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(settings.max_train_docs)
-    train = durable(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "__id").select("toxic", "text"), "toxic-train")
+    train = durable(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "__id").groupBy("__id", "toxic").agg(F.max("text").alias("text")).select("toxic", "text"), "toxic-train")
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), sum(v for k, v in totals.items() if k != 1)
     prior = math.log((n1 + 0.5) / (n0 + n1 + 1)) - math.log((n0 + 0.5) / (n0 + n1 + 1)) if n0 + n1 else -4.0
