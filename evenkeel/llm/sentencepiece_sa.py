@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _CHUNK = 400_000  # characters indexed at a time
 _TEXTS = 3_000_000  # characters of texts handled at a time
-_CACHE = 600_000  # units remembered
+_CACHE = 250_000  # units remembered
 _LONG = 48  # units longer than this are merged with a heap
 
 
