@@ -85,6 +85,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def dealt(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """A stored table of narrow rows, dealt anew to tasks of at most so many rows, or to all cores if that makes more tasks."""
+    n = -(-df.count() // rows_per_task)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import dealt, durable
 from .graph import components
 
 #: Texts with the same fingerprint are spread over so many parts when components are joined back to documents.
@@ -80,13 +80,13 @@ def _flips(n: int):
 def links(fps: DataFrame) -> DataFrame:
     """(fp, root) for every distinct value in fps(fp): root is the same for all that links of three bits or fewer connect."""
     nodes = durable(fps.select("fp").where("fp is not null").distinct(), "simhash-nodes")
-    met = nodes.select("fp", _flips(64).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x")).alias("at"), "fp")
+    met = dealt(nodes).select("fp", _flips(64).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x")).alias("at"), "fp")
     low = met.groupBy("at").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 at most
     near = durable(low.select(F.explode("all").alias("u"), "v").where("u <> v").distinct(), "simhash-near")
     first = durable(nodes.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-first")
 
     word = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.shiftrightunsigned("fp", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF))).alias("w")) for h in (0, 1)])).alias("x")
-    words = first.select("fp", "root", word).select("fp", "root", "x.h", "x.w")
+    words = dealt(first).select("fp", "root", word).select("fp", "root", "x.h", "x.w")
     key = lambda w: (F.col("h") * F.lit(1 << 32) + w).alias("at")
     exact = words.select(key(F.col("w")), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     ball = words.select("fp", "root", "h", "w", _flips(32).alias("f")).select(key(F.col("w").bitwiseXOR(F.col("f"))), "fp", "root")
