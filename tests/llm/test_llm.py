@@ -484,3 +484,12 @@ def test_pipeline_stages_keep_clashing_columns(spark, docs):
         d = cp.durable(stage(spark, d, SF), f"clash-{name}")
         assert d.columns == columns
         assert d.where("score <> 'score' or blob <> 'blob'").count() == 0
+
+
+def test_a_repeated_id_is_one_training_row(spark):
+    texts = [(i, f"calm word{i % 7} text {'vileword' if i % 3 == 0 else 'mild'} end") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    again = docs.unionByName(spark.createDataFrame([texts[3]] * 50 + [(6, ""), (9, None)], docs.schema))
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(again, labels) == toxicity.fit(docs, labels)
+    assert quality_classifier.fit(again, labels) == quality_classifier.fit(docs, labels)
