@@ -59,7 +59,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, likelihood ratio and verdict of every document; documents labelled good are the trusted target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_rules.rate(docs, quality_rules.multinomials(docs, trusted))
+    return quality_rules.verdicts(docs, trusted)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

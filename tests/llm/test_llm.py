@@ -179,6 +179,14 @@ def test_rules_keep_labelled_good_documents(spark):
     assert sum(good) / len(good) > 0.97
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_rules_drop_labelled_poor_documents_at_any_size(spark, size):
+    d = f"/root/testdata/{size}"
+    rows = queries.op4_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    poor, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert sum(poor) / len(poor) < 0.05 and sum(good) / len(good) > 0.97
+
+
 # 5
 
 
