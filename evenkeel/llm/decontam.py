@@ -52,7 +52,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: in
 
     Items shorter than `window` tokens are matched as one window; those under min_tokens tokens hold too little to be
     evidence and match nothing.  Windows with fewer than min_literals tokens besides placeholders (or than half of a
-    shorter window) say too little as templates; an item with no other window is matched on its values instead.  Null
+    shorter window) say too little as templates; these are matched on their values instead, in every item.  Null
     texts have no tokens.  Rows with the same id count as one document, null ids as one document with a null id;
     repeated items are matched alike, items with a null id too.  Extra columns are ignored.
     """
@@ -61,16 +61,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: in
     plan = []
     for exact in (False, True):
         per = items.withColumn("width", F.least(F.lit(window), "n"))
-        literals = F.filter("toks", lambda x: ~_slot(x))
         rows = []
         for width in sorted(r["width"] for r in per.select("width").distinct().collect()):  # window values at most
             w = per.where(F.col("width") == width).withColumn("hs", _windows(_hashes(F.col("toks"), exact), width))
-            good = F.lit(True) if exact else F.size(F.filter(F.slice("toks", F.col("ipos") + 1, width), lambda x: ~_slot(x))) >= min(min_literals, (width + 1) // 2)
-            w = w.select("item", "n", "toks", F.posexplode("hs").alias("ipos", "h")).where(good)
+            good = F.size(F.filter(F.slice("toks", F.col("ipos") + 1, width), lambda x: ~_slot(x))) >= min(min_literals, (width + 1) // 2)
+            w = w.select("item", "n", "toks", F.posexplode("hs").alias("ipos", "h")).where(~good if exact else good)
             rows.append((width, w.select("item", "n", "ipos", "h")))
-        if exact:
-            weak = items.where(F.size(literals) < F.least(F.lit(min_literals), (F.least(F.lit(window), "n") + 1) / 2))
-            rows = [(width, w.join(weak.select(F.col("item").alias("i1")), F.col("item").eqNullSafe(F.col("i1")), "left_semi")) for width, w in rows]
         plan += [(width, exact, durable(w, "bench-windows")) for width, w in rows]
     plan = [(width, exact, w) for width, exact, w in plan if w.limit(1).count()]
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{item_col}` {dict(benchmark.dtypes)[item_col]}, covered long, item_tokens long, n_slots long, n_conflicts long"

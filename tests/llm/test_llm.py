@@ -423,6 +423,14 @@ def test_leaks_equal_brute_force(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, SF).collect()} == want and want
 
 
+def test_leaks_find_verbatim_copies_of_items_with_few_literals(spark):
+    numbers = "Which of these numbers is the largest one: " + " ".join(str(7 * i % 90 + 10) for i in range(17))
+    spread = " ".join(f"{i} {i + 1} {i + 2} word{'abcdefgh'[i // 10]} {i + 3} {i + 4}" for i in range(0, 80, 10))
+    bench = spark.createDataFrame([(1, numbers), (2, spread)], "item_id long, text string")
+    rows = [(1, f"before. {numbers} after"), (2, f"before. {spread} after"), (3, "Which of these numbers is the largest one: " + " ".join(map(str, range(200, 217)))), (4, " ".join(map(str, range(60)))), (5, None)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(spark, rows), bench).collect()) == [(1, 1), (2, 2)]
+
+
 # Pipeline
 
 
