@@ -2,8 +2,8 @@
 
 Numbers, units that follow a number, and capitalised words inside a sentence become placeholders that remember their
 value.  Every window of `window` tokens of every document is hashed on its template and meets the windows of the
-benchmark.  A document leaks an item when its windows cover enough of the item's tokens and the slots agree: one value
-of the item always stands for one value of the document, whatever that is.  So verbatim copies and questions with new
+benchmark.  A document leaks an item when its windows cover enough of the item's tokens and the slots of one of its
+alignments agree: one value of the item always stands for one value of the document, whatever that is.  So verbatim copies and questions with new
 names or numbers are both found.  DataFrame operations only.
 """
 
@@ -85,9 +85,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: in
     spread = F.size(F.array_distinct(F.flatten(F.transform(F.col("ips"), lambda p: F.sequence(p, p + F.col("width") - 1)))))
     cover = met.groupBy("id", "item", "n", "width").agg(F.collect_set("ipos").alias("ips")).select("id", "item", "n", spread.alias("covered"))
     cover = cover.groupBy("id", "item", "n").agg(F.max("covered").alias("covered")).where(F.col("covered") >= F.col("n") * min_cover)
-    runs = met.groupBy("id", "item", "diag").agg(F.countDistinct("ipos").alias("windows"), F.min("ipos").alias("a"), F.max(F.col("ipos") + F.col("width")).alias("b"))
-    best = runs.groupBy("id", "item").agg(F.max_by(F.struct("diag", "a", "b"), F.struct("windows", F.col("diag"))).alias("best"))
-    cand = durable(cover.join(best, (cover["id"].eqNullSafe(best["id"])) & (cover["item"].eqNullSafe(best["item"]))).select(cover["id"].alias("id"), cover["item"].alias("item"), "n", "covered", "best.*"), "bench-candidates")
+    # Alignments to check: every diagonal that covers enough by itself, and those with the most windows.
+    runs = met.groupBy("id", "item", "n", "width", "diag").agg(F.collect_set("ipos").alias("ips"))
+    runs = durable(runs.select("id", "item", "n", "diag", F.size("ips").alias("windows"), F.array_min("ips").alias("a"), (F.array_max("ips") + F.col("width")).alias("b"), spread.alias("own")), "bench-runs")
+    most = cover.join(runs.groupBy("id", "item", "n").agg(F.max("windows").alias("most")).toDF("i3", "t3", "n3", "most"), F.col("id").eqNullSafe(F.col("i3")) & F.col("item").eqNullSafe(F.col("t3")) & (F.col("n") == F.col("n3"))).select(F.col("id").alias("i3"), F.col("item").alias("t3"), F.col("n").alias("n3"), "covered", "most")
+    same = F.col("id").eqNullSafe(F.col("i3")) & F.col("item").eqNullSafe(F.col("t3")) & (F.col("n") == F.col("n3"))
+    cand = runs.join(most, same).where((F.col("own") >= F.col("n") * min_cover) | (F.col("windows") == F.col("most")))
+    cand = durable(cand.select("id", "item", "n", "covered", "diag", "windows", "a", "b"), "bench-candidates")
 
     ids = cand.select(F.col("id").alias("cid")).distinct()
     found = toks.join(guarded(ids), F.col("id").eqNullSafe(F.col("cid")), "left_semi")
@@ -95,8 +99,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: in
     size = F.col("b") - F.col("a")
     pairs = F.arrays_zip(F.slice("itoks", F.col("a") + 1, size).alias("x"), F.slice("toks", F.greatest(F.col("a") + F.col("diag"), F.lit(0)) + 1, size).alias("y"))
     slots = F.array_distinct(F.filter(pairs, lambda p: _slot(p["x"])))
-    seen = aligned.select("id", "item", "n", "covered", slots.alias("slots"))
-    seen = seen.select("id", "item", "n", "covered", F.size(F.array_distinct(F.transform("slots", lambda p: p["x"]))).alias("n_slots"), F.size("slots").alias("n_pairs"))
+    at = ["id", "item", "n", "covered", "windows", "diag"]
+    seen = aligned.select(*at, slots.alias("slots"))
+    seen = seen.select(*at, F.size(F.array_distinct(F.transform("slots", lambda p: p["x"]))).alias("n_slots"), F.size("slots").alias("n_pairs"))
     seen = seen.withColumn("n_conflicts", F.col("n_pairs") - F.col("n_slots")).where(F.col("n_conflicts") * 4 <= F.col("n_slots"))
-    out = seen.groupBy("id", "item").agg(*[F.max(c).cast("long").alias(c) for c in ("covered", "n")], *[F.min(c).cast("long").alias(c) for c in ("n_slots", "n_conflicts")])
+    # Of the consistent alignments the one with the most windows is told, the last of them on a tie.
+    told = F.max(F.struct("windows", "diag", (-F.col("n_conflicts")).alias("c"), (-F.col("n_slots")).alias("s"))).alias("told")
+    out = seen.groupBy("id", "item").agg(*[F.max(c).cast("long").alias(c) for c in ("covered", "n")], told)
+    out = out.select("id", "item", "covered", "n", (-F.col("told.s")).cast("long").alias("n_slots"), (-F.col("told.c")).cast("long").alias("n_conflicts"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "covered", F.col("n").alias("item_tokens"), "n_slots", "n_conflicts")

@@ -431,6 +431,13 @@ def test_leaks_find_verbatim_copies_of_items_with_few_literals(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(spark, rows), bench).collect()) == [(1, 1), (2, 2)]
 
 
+def test_leaks_check_every_alignment(spark):
+    item, other = "A farmer has 12 red apples and gives Anna 5 of them before Anna leaves.", "A farmer has 40 red apples and gives Berta 7 of them before Clara leaves."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"{item} Then more. {other}"), (2, f"{other} Then more. {item}"), (3, f"{other} Then more. {other}"), (4, " ".join([other] * 20 + [item] + [other] * 20))]
+    assert sorted(r["doc_id"] for r in decontam.leaks(frame(spark, rows), bench).collect()) == [1, 2, 4]
+
+
 # Pipeline
 
 
