@@ -35,12 +35,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # the same spans as of [0-9a-f]+ with 32 characters or more, from far fewer matches
 )
+_BODY, _BREAK = r"[A-Za-z0-9+/=,:.\"'\s\\]", r"\s*(?:\\[nr]\s*){0,4}"
 #: Rules of our own; base spans stay whatever these find.
 MORE = (
     Rule("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # The key up to its END line, with headers and line breaks of any form; without that line, the lines of base 64 that follow.
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:" + _BODY + r"*(?:-(?!-)" + _BODY + r"*){0,50}-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:" + _BREAK + r"[A-Za-z0-9+/]{16,}={0,2}(?![^\s\\])){1,1000}(?:" + _BREAK + r"[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n\\]))?)?"),
 )
-RULES, VERSION = BASE + MORE, "2"
+RULES, VERSION = BASE + MORE, "3"
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:

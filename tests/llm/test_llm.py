@@ -286,6 +286,22 @@ def test_redaction(spark):
     assert out[40]["text"] == "é token=\"abcd\" [secret]' [secret] x" and out[40]["n_chars"] == len(out[40]["text"])
 
 
+def test_redaction_takes_the_whole_private_key(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "x+/9" * 12] * 30 + ["Qh3w=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, f"see\n{begin}\n{body}\n{end}\nand go on"),
+        (2, f"see\n{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{body}\n{end}\nand go on"),
+        (3, f"see\n{begin}\n{body}\nand go on"),
+        (4, "see\n" + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + "\nand go on"),
+        (5, f"see\n{begin}\nand go on"),
+    ]
+    found = secrets.find(F.col("text"))
+    got = {r["doc_id"]: r for r in frame(spark, rows).select("doc_id", secrets.redact(F.col("text"), found).alias("t"), secrets.joined(found).alias("s")).collect()}
+    assert {r["t"] for r in got.values()} == {"see\n[secret]\nand go on"}
+    assert all(got[i]["s"] == plain_spans(t) for i, t in rows)
+
+
 # 8
 
 
