@@ -17,13 +17,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies one row stays, with the smallest id."""
     return simhash.deduplicate(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, as it is or with other names and numbers, go."""
-    return without(docs, durable(decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "pipeline-leaks"))
+    """Documents that hold a benchmark item, as it is or with other names and numbers, go; without an id each text is a document."""
+    key = free(docs, "__key")
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.xxhash64("text").cast("string"))))
+    return without(keyed, durable(decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(key), "pipeline-leaks"), key).drop(key)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

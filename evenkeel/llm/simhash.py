@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, durable
+from .common import dealt, durable, free, guarded
 from .graph import components
 
 #: Texts with the same fingerprint are spread over so many parts when components are joined back to documents.
@@ -63,6 +63,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
 
 
+def _hashed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = next(_fingerprints(iter([b])))
+        yield pa.RecordBatch.from_arrays([*out.columns, b.column(2)], ["id", "fp", "h"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per row of docs; fp holds the 64 bits as a signed long."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -114,8 +120,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose component holds a smaller id; rows with a null id stay."""
-    from .common import without
+    """One row of docs for each component: of its smallest id, or of a null id if it has no other.
 
-    gone = durable(near_duplicates(docs, id_col, text_col).where(F.col(id_col) > F.col("component_id")).select(id_col), "simhash-gone")
-    return without(docs, gone, id_col)
+    Rows are told apart by id and text, so rows that repeat an id are judged by their own texts, and of equal rows one
+    stays.  Only ids and hashes are shuffled, and the rows of those ids that stay and are repeated with their text.
+    """
+    key, hashed = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    src = docs.select(key.alias("id"), docs[text_col].cast("string").alias("text"), hashed.alias("h"))
+    fps = durable(src.mapInArrow(_hashed_fingerprints, "id long, fp long, h long"), "simhash-fps")
+    keys = durable(fps.groupBy("id", "h", "fp").agg(F.count("*").alias("n")), "simhash-keys")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("x")
+    least = keys.groupBy("fp").agg(first).join(links(fps), "fp").select("root", "x.*")
+    kept = durable(least.groupBy("root").agg(first).select("x.id", "x.h", "x.n"), "simhash-kept")
+    stays = kept.select(F.col("id").alias("i2"), F.col("h").alias("h2"))
+    gone = keys.join(stays, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left_anti").select("id", "h")
+    again = kept.where("n > 1").select("id", "h")
+    off = durable(gone.unionByName(again).toDF("__i", "__h"), "simhash-gone")
+    same = lambda x: key.eqNullSafe(x["__i"]) & (hashed == x["__h"])
+    off, again = guarded(off), again.toDF("__i", "__h")
+    out = docs.join(off, same(off), "left_anti")
+    if again.limit(1).count():
+        again = guarded(again)
+        more = docs.join(again, same(again), "left_semi")
+        i, t = free(more, "__id"), free(more, "__text")
+        out = out.unionAll(more.withColumns({i: key, t: hashed}).dropDuplicates([i, t]).drop(i, t))
+    return out

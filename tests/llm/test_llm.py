@@ -483,6 +483,19 @@ def test_pipeline(spark, docs):
     assert d.where("not exact").count() == 0
 
 
+def test_repeated_and_null_ids_leave_one_row_of_a_group(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = "one group of words that stands here alone", "quite another text about rivers and old bridges", "nothing in common with the rest of these lines"
+    rows = [(7, a), (7, a), (None, a), (9, a), (None, b), (None, b), (3, c), (3, a), (9, "a text that only repeats an id that goes elsewhere")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, b), (3, c), (3, a), rows[8]]))
+    assert simhash.deduplicate(spark.createDataFrame(rows[:2], "doc_id long, text string")).count() == 1
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    left = cp.drop_leaks(spark, spark.createDataFrame([(None, item), (None, c), (1, b), (2, item)], "doc_id long, text string"), SF).collect()
+    assert sorted(r["text"] for r in left) == sorted([c, b])
+
+
 # Contracts that hold for several operators
 
 
