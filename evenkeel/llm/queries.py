@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +20,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after three batches: all documents come in, those labelled poor go
-    out, and those with runs of symbols are counted anew without them.  The first batch is delivered twice."""
+    out, and those with runs of symbols are counted anew without them.  Each batch holds the counts of both public
+    tiktoken vocabularies.  The first batch is delivered twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
-    version = F.lit("byte_bpe_50k").alias("tokenizer")
-    change = lambda df, op, seq: df.select("doc_id", F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), "source", "lang", version, "n_tokens")
-    every = change(token_counts.count_tokens(docs), "insert", 1)
+    versions = ("byte_bpe_multi_50k", "byte_bpe_50k")
+    change = lambda df, op, seq, v: df.select("doc_id", F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), "source", "lang", F.lit(v).alias("tokenizer"), "n_tokens")
+    both = lambda of: reduce(DataFrame.unionByName, map(of, versions))
+    every = both(lambda v: change(token_counts.count_tokens(docs, v), "insert", 1, v))
     rollup.apply("b1", every)
     rollup.apply("b1", every)
     poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
     gone = poor.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n_tokens"))
-    rollup.apply("b2", change(gone, "delete", 2))
+    rollup.apply("b2", both(lambda v: change(gone, "delete", 2, v)))
     runs = docs.where(F.col("text").rlike(r"[#*$%&|<>]{3}")).withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]{3,}", ""))
     live = rollup.ledger().select("doc_id").distinct()
-    revised = change(token_counts.count_tokens(runs), "revise", 3).join(live, "doc_id", "left_semi")
+    revised = both(lambda v: change(token_counts.count_tokens(runs, v), "revise", 3, v)).join(live, "doc_id", "left_semi")
     rollup.apply("b3", revised)
-    return rollup.totals()
+    return rollup.totals().orderBy(F.desc("tokenizer"), "source", "lang")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,18 @@ def test_token_query_equals_a_plain_sum(spark, docs):
     assert {(r["source"], r["lang"]): r["n_tokens"] for r in queries.op2_token_counts(spark, SF).collect()} == want
 
 
+def test_token_query_counts_both_vocabularies(spark, docs):
+    gone = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
+    want = {}
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        count = token_counts.Counter(token_counts.load_ranks(f"/opt/tokenizers/{name}.tiktoken"))
+        want[name] = sum(count(re.sub(r"[#*$%&|<>]{3,}", "", r["text"])) for r in docs.collect() if r["doc_id"] not in gone)
+    got = Counter()
+    for r in queries.op2_token_counts(spark, SF).collect():
+        got[r["tokenizer"]] += r["n_tokens"]
+    assert got == want
+
+
 # 3
 
 
