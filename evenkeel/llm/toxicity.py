@@ -37,7 +37,7 @@ class Settings:
     min_log_odds: float = 2.0
     min_z: float = 5.0
     gap: int = 8  # background tokens kept between hits in training sequences
-    max_sequence: int = 96  # tokens of a training sequence
+    max_sequence: int = 96  # tokens of a training sequence; longer ones are trained in pieces of so many
     steps: int = 150
     threshold: float = 0.5
 
@@ -175,8 +175,8 @@ class Tagger:
         return [(*places[i], p) for i, p in wanted.items()]
 
 
-def _train_chain(sequences: list[tuple[list[tuple[int, ...]], list[int]]], k: int, s: Settings) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Adam on the conditional log likelihood; sequences of (features by token, label by token)."""
+def _train_chain(sequences: list[tuple[tuple[tuple[int, ...], ...], tuple[int, ...]]], weights: list[int], k: int, s: Settings) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Adam on the conditional log likelihood; sequences of (features by token, label by token), and how often each occurs."""
     n, length, width = len(sequences), max(len(x) for x, _ in sequences), max([1, *(len(f) for x, _ in sequences for f in x)])
     x, y, mask = np.full((n, length, width), k), np.zeros((n, length), int), np.zeros((n, length), bool)
     for i, (fs, labels) in enumerate(sequences):
@@ -186,7 +186,7 @@ def _train_chain(sequences: list[tuple[list[tuple[int, ...]], list[int]]], k: in
     theta = np.zeros(k + 1 + 1 + 2 + 4)  # features, padding, bias, start, transitions
     theta[k + 1] = -3.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    rows = np.arange(n)
+    times = np.array(weights, float)
     lse = lambda a, axis: (top := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - top).sum(axis))
     for step in range(1, s.steps + 1):
         theta[k] = 0
@@ -203,18 +203,18 @@ def _train_chain(sequences: list[tuple[list[tuple[int, ...]], list[int]]], k: in
             new = lse(trans[None] + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
             beta[:, j] = np.where(mask[:, j + 1, None], new, 0)
         gamma = np.exp(alpha + beta - logz[:, None, None]) * mask[..., None]
-        diff = np.where(mask, y - gamma[..., 1], 0)
+        diff = np.where(mask, y - gamma[..., 1], 0) * times[:, None]
         grad = np.zeros_like(theta)
         np.add.at(grad, x, np.broadcast_to(diff[..., None], x.shape))
         grad[k], grad[k + 1] = 0, diff.sum()
         for st in (0, 1):
-            grad[k + 2 + st] = (y[:, 0] == st).sum() - gamma[:, 0, st].sum()
+            grad[k + 2 + st] = times @ ((y[:, 0] == st) - gamma[:, 0, st])
         pair = mask[:, 1:]
         for a in (0, 1):
             for b in (0, 1):
                 xi = np.exp(alpha[:, :-1, a] + trans[a, b] + e[:, 1:, b] + beta[:, 1:, b] - logz[:, None]) * pair
-                grad[k + 4 + 2 * a + b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum() - xi.sum()
-        grad = grad / len(rows) - 1e-4 * theta
+                grad[k + 4 + 2 * a + b] = times @ (((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum(1) - xi.sum(1))
+        grad = grad / times.sum() - 1e-4 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         theta += 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return theta[:k], float(theta[k + 1]), theta[k + 2 : k + 4], theta[k + 4 :].reshape(2, 2)
@@ -294,19 +294,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["toxic", "seq"])
 
     rows = [(r["toxic"], r["seq"].split()) for r in train.mapInArrow(sequences, "toxic int, seq string").orderBy("seq", "toxic").collect()]
-    data, plain = [], 0
+    # Every row is trained on, long ones in pieces; equal pieces are one sequence with a weight, so rows without hits cost little.
+    data: dict[tuple, int] = {}
     for toxic, parts in rows:
         fs: list[tuple[int, ...]] = []
         for p in parts:
             fs += [()] * min(gap, int(p[1:])) if p[0] == "-" else [tuple(map(int, p.split(",")))]
-            if len(fs) >= longest:
-                break
-        hit = any(fs)
-        plain += not hit
-        if fs and (hit or plain <= 500):
-            data.append((fs[:longest], [int(bool(f) and toxic == 1) for f in fs[:longest]]))
-    data = sorted(data, key=lambda d: not any(d[0]))[:3000]
-    w, bias, start, trans = _train_chain(data, len(names), settings)
+        for i in range(0, len(fs), longest):
+            piece = tuple(fs[i : i + longest])
+            one = (piece, tuple(int(bool(f) and toxic == 1) for f in piece))
+            data[one] = data.get(one, 0) + 1
+    w, bias, start, trans = _train_chain(list(data), list(data.values()), len(names), settings)
     model = Model(dict(zip(names, map(float, w), strict=True)), bias, tuple(map(float, start)), tuple(tuple(map(float, r)) for r in trans))
     tagger = Tagger(model)
     x, y = [], []

@@ -252,6 +252,13 @@ def test_toxicity(spark):
     assert {r["score"] < 0.5 for r in toxicity.score(texts, none).collect()} == {True}
 
 
+def test_all_of_the_sample_is_trained_on(spark):
+    texts = spark.createDataFrame([(i, "a calm line of words " * 5 + ("vilename " * 100 + "latefoul" if i % 2 else "")) for i in range(200)], "doc_id long, text string")
+    labels = texts.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    weights = toxicity.fit(texts, labels).weights
+    assert weights["=vilename"] > 0.1 and weights["=latefoul"] > 0.1
+
+
 # 7
 
 
