@@ -21,7 +21,7 @@ from ..operators import chunks as ck
 from ..operators import counts, diff, scan, sniff
 from ..operators.metrics import status as status_of
 from ..sources.provider import SparkSource
-from ..sources.results import ResultStore, persist_options
+from ..sources.results import ResultStore
 from . import report as rp
 
 log = logging.getLogger("evenkeel")
@@ -64,7 +64,7 @@ class DataQualityChecker:
             raise ValueError("target_engine is needed for this check")
 
     def _run(self, kind: str, body: Callable, name, tags, persist, output, source_ref=None, target_ref=None, queries: dict | None = None) -> Outcome:
-        output, options = rp.check_format(output), persist_options(persist)
+        output = rp.check_format(output)
         timings = CheckRunTimings(run_started_at=now())
         run = {"run_id": new_run_id(), "started": timings.run_started_at, "version": ct.__version__, "source_type": self.source.dialect, "target_type": self.target.dialect if self.target and kind != ct.CHECK_TYPE_SNIFF_QUERY else None}
         self.check_stats["checked"] += 1
@@ -83,7 +83,7 @@ class DataQualityChecker:
             self.check_stats[f"tables_{status}"].add(source_ref.full_name)
         full = lambda r: r.full_name if r else None
         result = CheckResult(timestamp=run["started"], run_id=run["run_id"], check_type=kind, status=status, check_name=name, check_tags=tags, report=text, source_table=full(source_ref), target_table=full(target_ref), timezone=self.timezone, stats=stats, details=details, timings=timings, **(queries or {}))
-        self.results.store(result, options)
+        self.results.store(result, persist)
         return status, result.to_json() if output == ct.REPORT_JSON and status != ct.CHECK_SKIPPED else text, stats, details
 
     # Keyed diffs

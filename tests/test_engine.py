@@ -1,6 +1,11 @@
 """Keyed diffs, counts, rules, chunks, reports and results on small inputs with known answers."""
 
 import json
+import subprocess
+import sys
+from datetime import date, datetime
+from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +16,7 @@ from evenkeel.functions.normalize import canonical
 from evenkeel.functions.params import listing, literal, render
 from evenkeel.models import CheckResult, CheckRunTimings, CheckStats
 from evenkeel.operators import chunks, counts, diff, scan, sniff
-from evenkeel.sources.results import SCHEMA, persist_options, record
+from evenkeel.sources.results import SCHEMA, record
 
 
 def stats_of(spark, schema, source, target, keys, flag=None):
@@ -52,9 +57,6 @@ def text(spark, value, kind):
 
 
 def test_equal_values_of_other_types_are_equal_text(spark):
-    from datetime import date, datetime
-    from decimal import Decimal
-
     assert {text(spark, 3, T.LongType()), text(spark, 3.0, T.DoubleType()), text(spark, Decimal("3.00"), T.DecimalType(10, 2)), text(spark, 3.0, T.FloatType())} == {"3"}
     assert text(spark, 1e-7, T.DoubleType()) == "0.0000001" and text(spark, 1e-20, T.DoubleType()) == "0.00000000000000000001"
     assert text(spark, 50000.01, T.DoubleType()) == "50000.01" and text(spark, -0.0, T.DoubleType()) == "0" and text(spark, 1e300, T.DoubleType()) == "1e300"
@@ -87,6 +89,7 @@ def test_chunks():
 def test_params():
     assert render("SELECT :a::int, ':a', x::date FROM t WHERE s = :ab", {"a": 1, "ab": "O'x"}) == "SELECT 1::int, ':a', x::date FROM t WHERE s = 'O''x'"
     assert [literal(v) for v in (None, True, 2.5, "q")] == ["NULL", "TRUE", "2.5", "'q'"]
+    assert [literal(v) for v in (7, Decimal("1.50"), b"\x01\xff", date(2024, 1, 2))] == ["7", "1.50", "X'01ff'", "'2024-01-02'"]
     assert listing({"b", "a"}) == "a, b" and listing(("z", "y")) == "z, y" and listing(None) == "" and listing(()) == ""
 
 
@@ -185,7 +188,7 @@ def test_results():
     t.start("source_query")
     first = t.source_query_started_at
     t.start("source_query")
-    assert t.source_query_started_at == first and persist_options(True).enabled and persist_options(REF).table == REF
+    assert t.source_query_started_at == first
 
 
 def test_storage_failure_keeps_the_result(spark):
@@ -221,3 +224,15 @@ def test_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("missing", ["tiktoken", "evenkeel.llm", "evenkeel.llm.queries", "corpus_pipeline"])
+def test_entry_points_survive_a_missing_import(missing):
+    """Only what needs the missing module goes; the queries of the engine stay."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    names, oracles = (line.split() for line in done.stdout.strip().split("\n")[-2:])
+    assert "samples_stats_orders" in names and "samples_stats_orders" in oracles
+    assert "pipeline" not in names and any(n.startswith("op1_") for n in names) == (missing == "corpus_pipeline" and _has_llm())
+
+
+def _has_llm() -> bool:
+    return (Path(__file__).resolve().parents[1] / "evenkeel" / "llm" / "queries.py").exists()
