@@ -75,8 +75,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a chain fitted on the labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.Settings().threshold).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, model, spans=True)
+    places = F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.Settings().threshold).cast("int").alias("predicted"),
+        F.array_join(places, ",").alias("toxic_spans"),
+    )
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,25 +223,94 @@ def test_sparse_sites_shrink(spark):
 # 6
 
 
+def every_path(model, words):
+    """Weights of all label paths; a chain begins in the clean state."""
+    move = {(0, 0): 0.0, (0, 1): model.trans[0], (1, 0): model.trans[1], (1, 1): model.trans[2]}
+    emit = [model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]
+    out = {}
+    for ys in itertools.product((0, 1), repeat=len(words)):
+        out[ys] = math.exp(sum(e for e, y in zip(emit, ys, strict=True) if y) + sum(move[p] for p in itertools.pairwise((0, *ys))))
+    return out
+
+
+CHAIN = toxicity.Model({"=bad": 3.0, "=vile": 2.0}, -2.5, (-0.7, -0.2, 0.6))
+
+
 def test_forward_backward_is_exact():
-    m = toxicity.Model({"=bad": 3.0, "=vile": 2.0}, -2.5, (0.3, -0.7), ((0.4, -0.5), (-0.2, 0.6)))
-    tagger = toxicity.Tagger(m)
-    for t in ("bad", "a", "a bad b", "bad bad", "a b c bad d vile", "bad a b c vile", "a b c d"):
-        ws = t.split()
-        emit = [m.bias + m.weights.get("=" + w, 0.0) for w in ws]
-        weight = {}
-        for ys in itertools.product((0, 1), repeat=len(ws)):
-            s = m.start[ys[0]] + sum(e for e, y in zip(emit, ys, strict=True) if y) + sum(m.trans[a][b] for a, b in itertools.pairwise(ys))
-            weight[ys] = math.exp(s)
-        z = sum(weight.values())
-        odds, _, at, marginals = tagger.odds(t)
-        assert odds == pytest.approx(math.log((z - weight[(0,) * len(ws)]) / weight[(0,) * len(ws)]))
-        assert marginals == pytest.approx([sum(v for k, v in weight.items() if k[i]) / z for i in at])
+    tagger = toxicity.Tagger(CHAIN)
+    texts = ("bad", "a", "", "a bad b", "bad bad", "a b c bad d vile", "bad a b c vile", "a b c d", "Bad VILE x")
+    log_odds, expected, marginals = tagger.run([tagger.hits(t) for t in texts])
+    for i, t in enumerate(texts):
+        words = t.lower().split()
+        weight = every_path(CHAIN, words)
+        z, clean = sum(weight.values()), weight[(0,) * len(words)]
+        at = [k for k, w in enumerate(words) if w in ("bad", "vile")]
+        want = [sum(v for ys, v in weight.items() if ys[k]) / z for k in at]
+        assert marginals[i] == pytest.approx(want) and expected[i] == pytest.approx(sum(want))
+        assert log_odds[i] == pytest.approx(math.log((z - clean) / clean)) if words else log_odds[i] < -30
+
+
+def test_training_sums_equal_brute_force():
+    import pyarrow as pa
+
+    names = ["=bad", "=vile", "^vile"]
+    rows = [(2, 1, "a bad b c d vile"), (1, 0, "bad bad x"), (3, 0, "a b c d e"), (1, 1, "vilest a a bad bad"), (1, 0, ""), (1, 1, "vile vile")]
+    gaps, hits = [], []
+    for _, _, t in rows:
+        found = [[names.index(f) for f in toxicity.features(w) if f in names] for w in t.split()]
+        at = [i for i, f in enumerate(found) if f]
+        hits.append([found[i] for i in at])
+        gaps.append([b - a - 1 for a, b in itertools.pairwise([-1, *at, len(found)])])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([n for n, _, _ in rows], pa.int64()), pa.array([y for _, y, _ in rows], pa.int32()), pa.array(gaps, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.list_(pa.int32())))],
+        ["times", "toxic", "gaps", "hits"],
+    )
+
+    def plain(theta):
+        model = toxicity.Model(dict(zip(names, theta[:3], strict=True)), theta[3], tuple(theta[4:]))
+        total = 0.0
+        for n, y, t in rows:
+            words = t.split()
+            weight = every_path(model, words)
+            labels = tuple(int(y == 1 and any(f in names for f in toxicity.features(w))) for w in words)
+            total += n * math.log(weight[labels] / sum(weight.values()))
+        return total
+
+    theta = np.array([0.7, -0.4, 0.3, -1.2, -0.5, 0.2, 0.9])
+    got = toxicity.likelihood_sums(toxicity.Sequences.of(batch), theta, 3)
+    assert got[0] == pytest.approx(plain(theta)) and got[1] == 9
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        assert got[2 + i] == pytest.approx((plain(theta + step) - plain(theta - step)) / 2e-5, rel=1e-6, abs=1e-6)
+
+
+def test_long_runs_stay_exact():
+    """A run of a million background tokens is one step; against the same chain moved token by token."""
+    chain = toxicity.Chain(-3.0, (-1.0, 0.5, 0.3))
+    left = np.array([[0.6, 0.4]])
+    for n in (0, 1, 2, 1000):
+        slow, scale = left[0], 0.0
+        for _ in range(n):
+            slow = slow @ chain.run
+            scale += math.log(slow.sum())
+            slow = slow / slow.sum()
+        fast = chain.over(left, np.array([n]))[0]
+        assert fast / fast.sum() == pytest.approx(slow) and math.log(fast.sum()) + n * math.log(chain.top) == pytest.approx(scale)
+    pairs = chain.run_pairs(left, np.array([[0.3, 0.7]]), np.array([1_000_000]))
+    assert pairs.sum() == pytest.approx(1_000_000)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_toxic_rows_that_training_has_not_seen(spark, size):
+    d = f"/root/testdata/{size}"
+    rows = queries.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    hit = sum(r["predicted"] == 1 and r["toxic"] == 1 for r in rows)
+    assert hit >= 0.9 * sum(r["toxic"] for r in rows) and hit >= 0.95 * sum(r["predicted"] for r in rows) > 0
+    assert all((r["toxic_spans"] != "") == (r["predicted"] == 1) for r in rows if r["score"] > 0.99 or r["score"] < 0.01)
 
 
 def test_toxicity(spark):
-    rows = queries.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.85
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     texts = spark.createDataFrame([(i, "a calm line of words " * 5 + ("utter vilename here" if i % 2 else "")) for i in range(200)], "doc_id long, text string")
     model = toxicity.fit(texts, labels)
@@ -250,13 +319,43 @@ def test_toxicity(spark):
     assert [(s["start"], s["end"]) for r in got if r["doc_id"] == 50 for s in r["toxic_spans"]] == [(4, 12)]
     none = toxicity.fit(texts, labels.limit(0))
     assert {r["score"] < 0.5 for r in toxicity.score(texts, none).collect()} == {True}
+    assert toxicity.score(texts.limit(0), model).count() == 0 and toxicity.fit(texts.limit(0), labels).weights == {}
+
+
+def test_offsets_are_those_of_the_text_itself():
+    text = "İİ ŉ BAD words"
+    assert [text[a:b] for a, b, _ in toxicity.Tagger(toxicity.Model({"=bad": 9.0})).spans(text)] == ["BAD"]
+
+
+def test_the_chain_beats_its_own_list_without_transitions(spark):
+    """Words that are harmless alone and toxic in a row: a weighted list sees the same words in both kinds of rows."""
+    rng = np.random.default_rng(3)
+    calm = [f"calm{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rude = ["grim", "foul", "mean"]
+    rows = []
+    for i in range(1200):
+        words, toxic = list(rng.choice(calm, 40)), i % 2
+        if toxic:
+            at = int(rng.integers(0, 36))
+            words[at : at + 3] = rng.permutation(rude)
+        elif i % 5 >= 2:  # the same words as often, apart from each other
+            for at, word in zip((2, 17, 31), rng.permutation(rude), strict=True):
+                words[at] = word
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    right = {}
+    for chain in (True, False):
+        model = toxicity.fit(docs, docs.select("doc_id", "toxic"), toxicity.Settings(min_log_odds=0.3, transitions=chain))
+        seen = toxicity.score(docs.where(held_out(F.col("doc_id"))), model).collect()
+        right[chain] = sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in seen) / len(seen)
+    assert right[True] > 0.98 and right[False] < 0.9, right
 
 
 def test_all_of_the_sample_is_trained_on(spark):
     texts = spark.createDataFrame([(i, "a calm line of words " * 5 + ("vilename " * 100 + "latefoul" if i % 2 else "")) for i in range(200)], "doc_id long, text string")
     labels = texts.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     weights = toxicity.fit(texts, labels).weights
-    assert weights["=vilename"] > 0.1 and weights["=latefoul"] > 0.1
+    assert weights["=vilename"] > 0.1 and weights["=latefoul"] > 0.1  # the last word of rows of a hundred hits
 
 
 # 7
