@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Largest number of narrow rows (an id and a few numbers) that is ever broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Largest table, in bytes of its rows in memory, that is ever broadcast; a larger side is joined by shuffle.
+BROADCAST_BYTES = 64_000_000
+_FIXED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -26,7 +30,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/evenkeel/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/evenkeel/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths that new_path() gives inside this block, in order: its user knows when they are no longer needed."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -91,18 +109,25 @@ def dealt(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes that the rows of df take in memory: a fixed part by column, and the length of what has no fixed size."""
+    wide = [f"`{name}`" for name, kind in df.dtypes if kind not in _FIXED]
+    text = F.sum(F.octet_length(F.to_json(F.struct(*wide)))) if wide else F.lit(0)
+    rows, chars = df.agg(F.count("*"), F.coalesce(text, F.lit(0))).first()
+    return rows * (24 + 8 * len(df.columns)) + chars
+
 
+def guarded(df: DataFrame) -> DataFrame:
+    """df, a stored table, marked for a broadcast if its measured size allows that.
 
-def guarded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for a broadcast if its counted size allows that, else for a hash join that streams the other side."""
-    return F.broadcast(df) if small(df, rows) else df.hint("shuffle_hash")
+    Else it is marked for a hash join: only df is hashed, part by part, and adaptive execution splits parts of the other
+    side that a hot key makes large, since df has few rows for each key.
+    """
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key is not among ids.  Only ids is hashed in memory; the texts stream through the join."""
     name = free(docs, "__gone")
-    gone = ids.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct()
+    gone = durable(ids.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct(), "gone")
     return docs.join(guarded(gone), docs[key] == F.col(name), "left_anti")

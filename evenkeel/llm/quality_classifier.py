@@ -12,11 +12,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, held_out, small
+from .common import durable, guarded, held_out
 
 MAX_TRAIN_DOCS = 20_000
 THRESHOLD = 0.5
-_SALT = 16
 FEATURES = ("log_words", "word_length", "symbols", "uppers", "digits", "distinct_words", "distinct_lines", "pipes", "bangs", "letters")
 
 
@@ -93,8 +92,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     """One row per row of docs: id_col, host, path, evidence, host_quality, path_quality, score, kept.
 
     Null hosts and paths are groups of their own; null texts count as empty; repeated rows count once each, as they stand
-    in the corpus.  The group sums are aggregated before any shuffle, and their join back to documents is salted, so one
-    host with most rows is no hot task.  An empty table gives an empty table.
+    in the corpus.  The group sums are aggregated before any shuffle; see guarded() for their join back to documents, in
+    which one host may have most rows.  An empty table gives an empty table.
     """
     mean, scale, w = fit(docs, labels, max_train_docs, id_col, text_col)
     raw = docs.select(F.col(id_col), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), *features(F.col(text_col)))
@@ -111,11 +110,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     nested = paths.join(hosts, "host")
     b = _strength(nested, F.col("host_quality"))
     groups = durable(nested.select("host", "path", "host_quality", ((F.col("s") + b * F.col("host_quality")) / (F.col("n") + b)).alias("path_quality")), "quality-groups")
-    if small(groups, 20_000):
-        joined = scored.join(F.broadcast(groups), ["host", "path"])
-    else:
-        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
-        joined = scored.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(_SALT)).cast("int")).join(salted, ["host", "path", "salt"])
+    joined = scored.join(guarded(groups), ["host", "path"])
     odds = _logit(F.col("evidence")) + _logit(F.col("path_quality")) - _logit(F.lit(base))
     name = lambda c: F.when(F.col(c) == "\0", None).otherwise(F.col(c)).alias(c)
     out = joined.select(id_col, name("host"), name("path"), "evidence", "host_quality", "path_quality", (1 / (1 + F.exp(-odds))).alias("score"))

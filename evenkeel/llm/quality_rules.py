@@ -39,9 +39,9 @@ def _grams(hashes: Column, buckets: int) -> Column:
 
 def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, name: str) -> DataFrame:
     """docs with column name: 1 where the id is a trusted one, else null."""
-    ids = trusted.select(F.col(id_col).alias("__t")).where("__t is not null").distinct()
-    mark = guarded(ids.withColumn(name, F.lit(1)))
-    return docs.join(mark, docs[id_col] == F.col("__t"), "left").drop("__t")
+    key = free(docs, "__trusted")
+    ids = durable(trusted.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).distinct(), "quality-trusted")
+    return docs.join(guarded(ids.withColumn(name, F.lit(1))), docs[id_col] == F.col(key), "left").drop(key)
 
 
 def _counts(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> tuple[list[int], list[int]]:

@@ -92,8 +92,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secrets.BlobLedger(spark, new_path(spark, "secret-ledger"))
     found = ledger.of(ledger.scan(docs))
     base = [r.kind for r in secrets.BASE]
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.joined(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    ours = F.filter("spans", lambda s: s["kind"].isin(base))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in base],
+        F.sha2(secrets.joined(ours).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

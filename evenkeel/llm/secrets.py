@@ -1,8 +1,11 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its text.  A scan looks only at pairs of blob and rule
-version that the ledger doesn't hold yet, each blob once however many paths carry it, appends the findings, and joins
-them back to all paths.  DataFrame operations only.
+version that the ledger doesn't hold yet, each blob once however many paths carry it and however many versions a path
+has, appends the findings, and joins them back to all paths.  DataFrame operations only.
+
+Ids may be of any type that can be compared; null ids are paths like any other.  A null text is the empty blob.  Texts
+are scanned whole, however long.  An empty table leaves the ledger as it is.
 """
 
 from __future__ import annotations
@@ -12,10 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, exists, free, guarded, quoted, small
+from .common import durable, exists, free, guarded, quoted
 
-_SALT = 16
-_NO_ID = -(1 << 63)
 SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
 
@@ -47,24 +48,32 @@ RULES, VERSION = BASE + MORE, "3"
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule, leftmost first, none overlapping: the parts between matches and the matches tell positions."""
-    re = F.lit(rule.pattern)
-    parts, hits, told = F.split(text, rule.pattern), F.regexp_extract_all(text, re, F.lit(0)), F.regexp_extract_all(text, re, F.lit(rule.group))
-    rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(hits)).alias("before"), hits.alias("hit"), told.alias("told"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    pattern, none = F.lit(rule.pattern), F.array().cast(SPANS)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    told = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    before = F.slice(F.split(text, rule.pattern), F.lit(1), F.size(hits))
+    rows = F.arrays_zip(before.alias("before"), hits.alias("hit"), told.alias("told"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.length(x["told"]) >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        one = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
+        found = F.when(F.length(x["told"]) >= rule.least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.when(F.regexp_like(text, re), F.aggregate(rows, empty, add, lambda acc: acc["found"])).otherwise(F.array().cast(SPANS))
+    empty = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    return F.when(F.regexp_like(text, pattern), F.aggregate(rows, empty, add, lambda acc: acc["found"])).otherwise(none)
 
 
 def find(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All spans of a text, by start and then in the order of the rules; code points, end exclusive.  Null: none."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    return F.array_sort(F.concat(*[_spans(t, r, k) for k, r in enumerate(rules)]), lambda a, b: F.when(F.struct(a["start"], a["rank"]) < F.struct(b["start"], b["rank"]), -1).when(F.struct(a["start"], a["rank"]) > F.struct(b["start"], b["rank"]), 1).otherwise(0))
+
+    def order(a: Column, b: Column) -> Column:
+        x, y = F.struct(a["start"], a["rank"]), F.struct(b["start"], b["rank"])
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    return F.array_sort(F.concat(*[_spans(t, r, k) for k, r in enumerate(rules)]), order)
 
 
 def address(text: Column) -> Column:
@@ -86,38 +95,45 @@ class BlobLedger:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("rule_version") == self.version)
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Paths of docs with their blobs: (id_col, blob).  Blobs new to this rule version are scanned and appended."""
-        key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-        paths = durable(docs.select(F.col(id_col), address(F.col(text_col)).alias("blob")), "secret-paths")
-        todo = paths.groupBy("blob").agg(F.min(key).alias("carrier"))
-        todo = durable(todo.join(self.findings().select("blob"), "blob", "left_anti").select("carrier").distinct(), "secret-todo")
-        texts = docs.select(key.alias("k"), F.col(text_col).alias("text")).join(guarded(todo), F.col("k") == F.col("carrier"), "left_semi")
-        new = texts.select(address(F.col("text")).alias("blob"), F.lit(self.version).alias("rule_version"), find(F.col("text"), self.rules).alias("spans"))
-        new.dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
+        """Paths of docs with their blobs: (id_col, blob).  Blobs new to this rule version are scanned and appended.
+
+        Of the rows that carry a new blob those of its smallest id are read again, found by a hash of id and blob: the
+        texts of other versions of that path, and of other paths, are left alone.
+        """
+        row = docs.select(F.col(id_col), F.col(text_col).alias("__text"), address(F.col(text_col)).alias("blob"))
+        paths = durable(row.drop("__text"), "secret-paths")
+        carrier = F.xxhash64(F.col("id"), F.col("blob")).alias("carrier")
+        new = paths.groupBy("blob").agg(F.min(id_col).alias("id")).join(self.findings().select("blob"), "blob", "left_anti")
+        todo = durable(new.select(carrier), "secret-todo")
+        texts = row.join(guarded(todo), F.xxhash64(F.col(id_col), F.col("blob")) == F.col("carrier"), "left_semi")
+        once = texts.select("blob", F.lit(self.version).alias("rule_version"), find(F.col("__text"), self.rules).alias("spans"))
+        once.dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
         return paths
 
+    def _told(self, rows: DataFrame, blob: str, spans: str) -> DataFrame:
+        """rows with the spans of the blobs named in their column blob, null where nothing was found.
+
+        Blobs with findings are few beside all blobs; see guarded() for many, and for one blob on very many rows.
+        """
+        key = free(rows, "__found")
+        some = self.findings().where(F.size("spans") > 0).select(F.col("blob").alias(key), F.col("spans").alias(spans))
+        some = durable(some.dropDuplicates([key]), "secret-findings")
+        return rows.join(guarded(some), F.col(blob) == F.col(key), "left").drop(key)
+
     def of(self, paths: DataFrame) -> DataFrame:
-        """paths with the spans of their blobs (empty if none).  A blob on very many paths is spread over several parts."""
-        some = self.findings().where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-        if small(some, 50_000):
-            joined = paths.join(F.broadcast(some), "blob", "left")
-        else:
-            some = some.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
-            joined = paths.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in paths.columns if c != "blob"]), F.lit(_SALT)).cast("int")).join(some, ["blob", "__salt"], "left").drop("__salt")
-        return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+        """paths with the spans of their blobs (empty if none)."""
+        return self._told(paths, "blob", "spans").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
     def redacted(self, docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-        """docs, all of them and with the same columns, whatever their names, with the secrets of scanned blobs redacted and size_col counted anew.
-
-        Blobs with findings are few, so the texts stream past them: only the addresses of those blobs are hashed.
-        """
-        blob, spans, own = (free(docs, x) for x in ("__blob", "__spans", "__address"))
-        some = self.findings().where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob])
-        met = docs.withColumn(own, address(F.col(text_col))).join(guarded(some, 50_000), F.col(own) == F.col(blob), "left")
-        clean = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col(spans)))
-        out = met.withColumn(text_col, clean)
+        """docs, all of them and with the same columns, whatever their names, with the secrets of scanned blobs redacted
+        and size_col counted anew.  The texts stream past the addresses of blobs with findings."""
+        spans, own = free(docs, "__spans"), free(docs, "__address")
+        out = self._told(docs.withColumn(own, address(F.col(text_col))), own, spans)
+        found = F.col(spans).isNotNull()
+        out = out.withColumn(text_col, F.when(found, redact(F.col(text_col), F.col(spans))).otherwise(F.col(text_col)))
         if size_col in docs.columns:
-            out = out.withColumn(size_col, F.when(F.col(spans).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+            size = F.when(found, F.length(text_col)).otherwise(F.col(size_col))
+            out = out.withColumn(size_col, size.cast(docs.schema[size_col].dataType))
         return out.select(*quoted(docs.columns))
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat, decontam, graph, quality_classifier, quality_rules, queries, secrets, sentencepiece_sa, simhash, token_counts, toxicity, warc
+from evenkeel.llm import chat, common, decontam, graph, quality_classifier, quality_rules, queries, secrets, sentencepiece_sa, simhash, token_counts, toxicity, warc
 from evenkeel.llm.common import held_out, new_path, without
 
 SF = "/root/testdata/sf0.01"
@@ -31,6 +31,18 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+@pytest.fixture
+def nothing_broadcast(monkeypatch):
+    """Every guarded side counts as too large to broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+
+
+def test_sizes_are_measured_in_bytes(spark):
+    assert common.bytes_of(spark.range(10)) == 10 * 32
+    wide = spark.createDataFrame([("x" * 1000,), (None,)], "t string")
+    assert 2 * 32 + 1000 <= common.bytes_of(wide) <= 2 * 32 + 1050 and common.bytes_of(wide.limit(0)) == 0
+
+
 # 1
 
 
@@ -395,6 +407,38 @@ def test_ledger_scans_each_pair_once(spark):
     assert spark.read.parquet(path).count() == 2 * n + 1 and two.findings().count() == n
 
 
+def plain_row(doc_id, text):
+    """The whole result row of op7 for a text."""
+    spans = [s for s in plain_spans(text).split(",") if s]
+    base = [s for s in spans if s.split(":")[0] in ("assign", "access", "hex")]
+    counts = [sum(s.startswith(kind) for s in base) for kind in ("assign", "access", "hex")]
+    return (doc_id, *counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(spans))
+
+
+def test_secret_query_equals_a_plain_version(spark, docs):
+    got = queries.op7_secrets(spark, SF)
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted(map(tuple, got.collect())) == sorted(plain_row(r["doc_id"], r["text"]) for r in docs.collect())
+
+
+def test_versions_of_a_path_are_scanned_once_each(spark):
+    """One ledger row for each blob, whatever ids carry it and whatever else those ids carried before."""
+    path = new_path(spark, "ledger")
+    ledger = secrets.BlobLedger(spark, path)
+    rows = lambda x: spark.createDataFrame(x, "doc_id string, text string")
+    old, new = "password=oldsecret1", "password=newsecret2"
+    ledger.scan(rows([("a", old), (None, old), (None, "nothing"), ("b", None)]))
+    assert spark.read.parquet(path).count() == 3
+    found = ledger.of(ledger.scan(rows([("a", old), ("a", new), (None, new), (None, "more"), ("b", ""), ("c", new)])))
+    assert spark.read.parquet(path).count() == 5 == spark.read.parquet(path).select("blob").distinct().count()
+    assert sorted((r["doc_id"] or "-", len(r["spans"])) for r in found.collect()) == [("-", 0), ("-", 1), ("a", 1), ("a", 1), ("b", 0), ("c", 1)]
+
+
+def test_ledger_without_broadcasts(spark, docs, nothing_broadcast):
+    test_secret_query_equals_a_plain_version(spark, docs)
+    test_redaction(spark)
+
+
 def test_redaction(spark):
     src = frame(spark, SECRETS + ODD).withColumn("n_chars", F.length("text").cast("long"))
     ledger = secrets.BlobLedger(spark, new_path(spark, "ledger"))
