@@ -24,19 +24,28 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiktoken vocabularies.  The first batch is delivered twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
-    versions = ("byte_bpe_multi_50k", "byte_bpe_50k")
-    change = lambda df, op, seq, v: df.select("doc_id", F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), "source", "lang", F.lit(v).alias("tokenizer"), "n_tokens")
-    both = lambda of: reduce(DataFrame.unionByName, map(of, versions))
-    every = both(lambda v: change(token_counts.count_tokens(docs, v), "insert", 1, v))
-    rollup.apply("b1", every)
-    rollup.apply("b1", every)
+
+    def batch(op: str, seq: int, counted: Callable[[str], DataFrame]) -> DataFrame:
+        """Changes of one kind, under both tokenizer versions."""
+
+        def under(version: str) -> DataFrame:
+            rows = counted(version).withColumns({"op": F.lit(op), "seq": F.lit(seq).cast("long"), "tokenizer": F.lit(version)})
+            return rows.select("doc_id", "op", "seq", "source", "lang", "tokenizer", "n_tokens")
+
+        return reduce(DataFrame.unionByName, map(under, ("byte_bpe_multi_50k", "byte_bpe_50k")))
+
+    everything = batch("insert", 1, lambda version: token_counts.count_tokens(docs, version))
+    rollup.apply("b1", everything)
+    rollup.apply("b1", everything)
+
     poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
-    gone = poor.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n_tokens"))
-    rollup.apply("b2", both(lambda v: change(gone, "delete", 2, v)))
+    nothing = {"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "n_tokens": F.lit(0).cast("long")}
+    rollup.apply("b2", batch("delete", 2, lambda _: poor.withColumns(nothing)))
+
     runs = docs.where(F.col("text").rlike(r"[#*$%&|<>]{3}")).withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]{3,}", ""))
     live = rollup.ledger().select("doc_id").distinct()
-    revised = both(lambda v: change(token_counts.count_tokens(runs, v), "revise", 3, v)).join(live, "doc_id", "left_semi")
-    rollup.apply("b3", revised)
+    revised = batch("revise", 3, lambda version: token_counts.count_tokens(runs, version))
+    rollup.apply("b3", revised.join(live, "doc_id", "left_semi"))
     return rollup.totals().orderBy(F.desc("tokenizer"), "source", "lang")
 
 

@@ -97,6 +97,54 @@ def test_rollup_counts_and_repeats(spark):
         roll.apply("b4", rows([(1, "upsert", 1, "a", "en", "v", 5)]))
 
 
+def test_rollup_ignores_late_changes(spark):
+    roll = token_counts.Rollup(spark, new_path(spark, "roll"))
+    rows = lambda *x: spark.createDataFrame(x, token_counts.CHANGES)
+    total = lambda: [(r["source"], r["n_docs"], r["n_tokens"]) for r in roll.totals().collect()]
+    roll.apply("b1", rows((1, "insert", 3, "a", "en", "v", 30)))
+    roll.apply("b2", rows((1, "revise", 2, "z", "en", "v", 20)))
+    assert total() == [("a", 1, 30)]
+    roll.apply("b3", rows((1, "delete", 5, None, None, "v", 0), (2, "delete", 9, None, None, "v", 0)))
+    roll.apply("b4", rows((1, "insert", 4, "a", "en", "v", 7), (2, "insert", 8, "a", "en", "v", 7)))
+    assert total() == []
+    roll.apply("b5", rows((1, "insert", 5, "b", "en", "v", 4)))  # the same seq: the later batch counts
+    assert total() == [("b", 1, 4)]
+
+
+def test_rollup_equals_a_replay_and_reads_no_old_batch(spark):
+    """Random batches against a plain ledger; once a snapshot is written, batches before it are not read."""
+    rng = np.random.default_rng(11)
+    roll = token_counts.Rollup(spark, new_path(spark, "roll"), compact_every=3)
+    seen: dict[tuple, tuple] = {}
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            evaluated.add(b.num_rows)
+            yield b
+
+    for n in range(8):
+        rows = []
+        for i in map(int, rng.choice(12, 6, replace=False)):
+            op = str(rng.choice(["insert", "revise", "delete"]))
+            rows.append((i, op, int(rng.integers(0, 6)), f"s{rng.integers(2)}", "en", f"v{i % 2}", int(rng.integers(1, 9))))
+        for i, op, seq, source, lang, tok, tokens in rows:
+            if (i, tok) not in seen or seq >= seen[i, tok][0]:
+                seen[i, tok] = (seq, op, source, lang, tok, tokens)
+        roll.apply(f"b{n}", spark.createDataFrame(rows, token_counts.CHANGES).mapInArrow(counted, token_counts.CHANGES))
+        assert evaluated.value == 6 * (n + 1)
+        want = {}
+        for _, op, *keys, tokens in seen.values():
+            if op != "delete":
+                docs, total = want.get(tuple(keys), (0, 0))
+                want[tuple(keys)] = (docs + 1, total + tokens)
+        assert {tuple(r[c] for c in token_counts.KEYS): (r["n_docs"], r["n_tokens"]) for r in roll.totals().collect()} == want
+        read = {f.split("batch=")[1][:8] for f in roll.state().inputFiles() if "batch=" in f}
+        assert len(read) <= 2 and all(int(x) > 3 * ((n + 1) // 3) for x in read)
+        assert len([f for f in roll.totals().inputFiles() if "batch=" in f and int(f.split("batch=")[1][:8]) <= 3 * ((n + 1) // 3)]) == 0
+    assert not roll.apply("b0", spark.createDataFrame([], token_counts.CHANGES))
+
+
 def test_token_counts_equal_tiktoken(spark, docs):
     import tiktoken
 
@@ -107,25 +155,16 @@ def test_token_counts_equal_tiktoken(spark, docs):
 
 
 def test_token_query_equals_a_plain_sum(spark, docs):
-    labels = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
-    count = token_counts.Counter(token_counts.load_ranks("/opt/tokenizers/byte_bpe_50k.tiktoken"))
-    want = Counter()
-    for r in docs.collect():
-        if r["doc_id"] not in labels:
-            want[r["source"], r["lang"]] += count(re.sub(r"[#*$%&|<>]{3,}", "", r["text"]))
-    assert {(r["source"], r["lang"]): r["n_tokens"] for r in queries.op2_token_counts(spark, SF).collect()} == want
-
-
-def test_token_query_counts_both_vocabularies(spark, docs):
     gone = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
     want = {}
     for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
         count = token_counts.Counter(token_counts.load_ranks(f"/opt/tokenizers/{name}.tiktoken"))
-        want[name] = sum(count(re.sub(r"[#*$%&|<>]{3,}", "", r["text"])) for r in docs.collect() if r["doc_id"] not in gone)
-    got = Counter()
-    for r in queries.op2_token_counts(spark, SF).collect():
-        got[r["tokenizer"]] += r["n_tokens"]
-    assert got == want
+        for r in docs.collect():
+            if r["doc_id"] not in gone:
+                n, total = want.get((r["source"], r["lang"], name), (0, 0))
+                want[r["source"], r["lang"], name] = (n + 1, total + count(re.sub(r"[#*$%&|<>]{3,}", "", r["text"])))
+    got = queries.op2_token_counts(spark, SF).collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in got} == want and len(got) == len(want)
 
 
 # 3
