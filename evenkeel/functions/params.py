@@ -8,7 +8,7 @@ from decimal import Decimal
 from functools import singledispatch
 from typing import Any
 
-_STRING = re.compile(r"('(?:[^']|'')*')")
+STRING = re.compile(r"('(?:[^']|'')*')")
 _NAME = re.compile(r"(?<!:):([A-Za-z_]\w*)")
 
 
@@ -33,7 +33,7 @@ def render(sql: str | None, params: dict | None) -> str | None:
     def value_of(name: re.Match) -> str:
         return literal(params[name[1]]) if name[1] in params else name[0]
 
-    return "".join(part if part.startswith("'") else _NAME.sub(value_of, part) for part in _STRING.split(sql))
+    return "".join(part if part.startswith("'") else _NAME.sub(value_of, part) for part in STRING.split(sql))
 
 
 def listing(values: Iterable | None) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from ..constants import FLAG_VALUE_YES
@@ -19,10 +20,19 @@ from .metrics import sample_metrics
 N_S, N_T, S, T = "__ns", "__nt", "__s", "__t"
 
 
+CLEAN = "__clean"
+
+
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column in a form that has an order: maps become their entries by key."""
+    c = F.col(f"`{name}`")
+    return (F.array_sort(F.map_entries(c)) if isinstance(df.schema[name].dataType, T_.MapType) else c).alias(name)
+
+
 def _side(df: DataFrame, keys: list[str], values: list[str], flag: str | None, tag: int) -> DataFrame:
-    packed = F.struct(*[F.col(f"`{v}`") for v in values]) if values else F.struct(F.lit(0).alias("__none"))
-    fresh = (F.coalesce(F.col(f"`{flag}`") == FLAG_VALUE_YES, F.lit(False)) if flag else F.lit(False)).alias("__fresh")
-    return df.select(*[F.col(f"`{k}`") for k in keys], packed.alias("__v"), fresh, F.lit(tag).alias("__side"))
+    packed = F.struct(*[_comparable(df, v) for v in values]) if values else F.struct(F.lit(0).alias("__none"))
+    fresh = F.coalesce(F.col(f"`{flag}`") == FLAG_VALUE_YES, F.lit(False)) if flag else F.lit(False)
+    return df.select(*[_comparable(df, k) for k in keys], packed.alias("__v"), fresh.alias("__fresh"), F.lit(tag).alias("__side"))
 
 
 def keyed_diff(source: DataFrame, target: DataFrame, keys: list[str], values: list[str], flag: str | None = None) -> DataFrame:
@@ -57,18 +67,40 @@ def mismatch() -> Column:
     return both_sides() & ~F.col(S).eqNullSafe(F.col(T))
 
 
+def problem() -> Column:
+    """A key that one side lacks, that a side repeats, or whose rows differ."""
+    return mismatch() | only_source() | only_target() | (F.col(N_S) > 1) | (F.col(N_T) > 1)
+
+
+def condensed(diff: DataFrame) -> DataFrame:
+    """The keys of a diff with a problem, and one row without a key whose column __clean counts all other keys.
+
+    Both parts read the same exchange, so sources are read once.  stats() takes a condensed diff, too.
+    """
+    bad = diff.where(problem()).withColumn(CLEAN, F.lit(0).cast("long"))
+    counted = diff.where(~problem()).agg(F.count("*").alias(CLEAN))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in diff.schema if f.name not in (N_S, N_T)]
+    return bad.unionByName(counted.select(CLEAN, *[F.lit(0).cast("long").alias(n) for n in (N_S, N_T)], *nothing))
+
+
 def stats(diff: DataFrame, values: list[str]) -> DataFrame:
     """One row: the counts of a diff, issues (array of mismatches by value, in order), percentages and scores."""
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    def total(c: Column | str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    clean = F.col(CLEAN) if CLEAN in diff.columns else F.lit(0)
+    repeated = lambda n: F.greatest(F.col(n) - 1, F.lit(0))
+    same = both_sides() & F.col(S).eqNullSafe(F.col(T))
     counted = diff.agg(
-        total(N_S).alias("total_source_rows"),
-        total(N_T).alias("total_target_rows"),
-        total(F.greatest(F.col(N_S) - 1, F.lit(0))).alias("dup_source_rows"),
-        total(F.greatest(F.col(N_T) - 1, F.lit(0))).alias("dup_target_rows"),
-        F.count_if(F.col(N_T) == 0).alias("only_source_rows"),
-        F.count_if(F.col(N_S) == 0).alias("only_target_rows"),
-        F.count_if(both_sides()).alias("comparable_rows"),
-        F.count_if(both_sides() & F.col(S).eqNullSafe(F.col(T))).alias("passed_rows"),
+        total(F.col(N_S) + clean).alias("total_source_rows"),
+        total(F.col(N_T) + clean).alias("total_target_rows"),
+        total(repeated(N_S)).alias("dup_source_rows"),
+        total(repeated(N_T)).alias("dup_target_rows"),
+        F.count_if((F.col(N_S) > 0) & (F.col(N_T) == 0)).alias("only_source_rows"),
+        F.count_if((F.col(N_T) > 0) & (F.col(N_S) == 0)).alias("only_target_rows"),
+        total(both_sides().cast("long") + clean).alias("comparable_rows"),
+        total(same.cast("long") + clean).alias("passed_rows"),
         F.array(*[F.count_if(both_sides() & differs(v)) for v in values]).cast("array<bigint>").alias("issues"),
     )
     return counted.select(*STATS_INTS, "issues", *[v.alias(k) for k, v in sample_metrics(F.col("issues")).items()])
@@ -86,23 +118,38 @@ def keys_where(diff: DataFrame, keys: list[str], which: Column) -> DataFrame:
 
 
 def only_source() -> Column:
-    return F.col(N_T) == 0
+    return (F.col(N_T) == 0) & (F.col(N_S) > 0)
 
 
 def only_target() -> Column:
-    return F.col(N_S) == 0
+    return (F.col(N_S) == 0) & (F.col(N_T) > 0)
+
+
+def _quoted(names: list[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
 
 
 def value_examples(diff: DataFrame, keys: list[str], values: list[str], limit: int) -> DataFrame:
     """The first `limit` mismatches of each value by key: keys, column_name, source_value, target_value."""
-    each = F.explode(F.array(*[F.struct(differs(v).alias("bad"), F.lit(v).alias("column_name"), F.col(f"{S}.`{v}`").cast("string").alias("source_value"), F.col(f"{T}.`{v}`").cast("string").alias("target_value")) for v in values]))
-    rows = diff.where(mismatch()).select(*[F.col(f"`{k}`") for k in keys], each.alias("r")).where("r.bad").select(*[F.col(f"`{k}`") for k in keys], "r.column_name", "r.source_value", "r.target_value")
-    first = F.row_number().over(Window.partitionBy("column_name").orderBy(*[F.col(f"`{k}`") for k in keys]))
+
+    def one(v: str) -> Column:
+        sides = [F.col(f"{side}.`{v}`").cast("string").alias(name) for side, name in ((S, "source_value"), (T, "target_value"))]
+        return F.struct(differs(v).alias("bad"), F.lit(v).alias("column_name"), *sides)
+
+    rows = diff.where(mismatch()).select(*_quoted(keys), F.explode(F.array(*map(one, values))).alias("r")).where("r.bad")
+    rows = rows.select(*_quoted(keys), "r.column_name", "r.source_value", "r.target_value")
+    first = F.row_number().over(Window.partitionBy("column_name").orderBy(*_quoted(keys)))
     return rows.withColumn("__n", first).where(F.col("__n") <= limit).drop("__n")
 
 
 def row_examples(diff: DataFrame, keys: list[str], values: list[str], pairs: int) -> DataFrame:
     """Whole rows of the first mismatches, keys descending, source before target: xflg, keys, values."""
-    top = diff.where(mismatch()).orderBy(*[F.desc(f"`{k}`") for k in keys]).limit(pairs)
-    sides = F.explode(F.array(*[F.struct(F.lit(flag).alias("xflg"), *[F.col(f"{side}.`{v}`").alias(v) for v in values]) for flag, side in (("src", S), ("trg", T))]))
-    return top.select(*[F.col(f"`{k}`") for k in keys], sides.alias("r")).select("r.xflg", *[F.col(f"`{k}`") for k in keys], *[F.col(f"r.`{v}`") for v in values]).orderBy(*[F.desc(f"`{k}`") for k in keys], "xflg")
+    last_first = [k.desc() for k in _quoted(keys)]
+    top = diff.where(mismatch()).orderBy(*last_first).limit(pairs)
+
+    def side(flag: str, name: str) -> Column:
+        return F.struct(F.lit(flag).alias("xflg"), *[F.col(f"{name}.`{v}`").alias(v) for v in values])
+
+    rows = top.select(*_quoted(keys), F.explode(F.array(side("src", S), side("trg", T))).alias("r"))
+    rows = rows.select("r.xflg", *_quoted(keys), *[F.col(f"r.`{v}`") for v in values])
+    return rows.orderBy(*last_first, "xflg")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..constants import XSNIFF_PASSED_COLUMN, XSNIFF_PASSED_VALUE_NO
@@ -28,6 +28,14 @@ def breakdown(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col(flag_column(df)).alias(XSNIFF_PASSED_COLUMN)).agg(F.count("*").alias("row_count")).orderBy(F.desc("row_count"), XSNIFF_PASSED_COLUMN)
 
 
+def stats_of(flags: list[Row]) -> dict[str, float]:
+    """The row of stats() as a dictionary, from the rows of breakdown()."""
+    total = sum(r["row_count"] for r in flags)
+    bad = sum(r["row_count"] for r in flags if str(r[XSNIFF_PASSED_COLUMN]) == XSNIFF_PASSED_VALUE_NO)
+    pct = bad / total * 100.0 if total else 0.0
+    return {"total_source_rows": total, "passed_rows": total - bad, "issue_rows": bad, "issue_rows_pct": pct, "final_diff_score": pct, "final_score": 100.0 - pct}
+
+
 def examples(df: DataFrame, limit: int) -> DataFrame:
     """The first rows that break the rule, with all their columns, in the order of these."""
     kinds = dict(df.dtypes)

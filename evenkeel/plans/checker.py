@@ -1,13 +1,14 @@
 """The four checks.
 
-Every check is one lazy plan and one pass for its numbers; only if something is wrong are bounded examples taken in a
-second one.  Arguments are checked at once and raise; what goes wrong while a check runs makes it `failed` without numbers.
+Every check is one lazy plan and one pass over its sources; what has a problem is kept for bounded examples.  Reading is
+part of that pass, so the times of a check are those of the run and of the pass; there are none of queries alone.  Arguments are checked at once and raise; what goes wrong while a check runs makes it `failed` without numbers.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,52 +91,64 @@ class DataQualityChecker:
 
     def _compare(self, source: DataFrame, target: DataFrame, keys: list[str], values: list[str], flagged: bool, chunked: bool, limit: int, timings: CheckRunTimings) -> tuple[CheckStats, CheckDetails]:
         flag = ct.XRECENTLY_CHANGED_COLUMN if flagged else None
+        extra = [c for c, used in ((flag, flagged), (_CHUNK, chunked)) if used]
 
         def side(df: DataFrame) -> DataFrame:
-            extra = [c for c in ([flag] if flag else []) + ([_CHUNK] if chunked else []) if c]
-            session_zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-            return df.select(*[canonical(F.col(f"`{c}`"), df.schema[c].dataType, self.timezone, session_zone).alias(c) for c in dict.fromkeys([*keys, *values])], *extra)
+            zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+            texts = [canonical(F.col(f"`{c}`"), df.schema[c].dataType, self.timezone, zone).alias(c) for c in dict.fromkeys([*keys, *values])]
+            return df.select(*texts, *extra)
 
         for label, df in (("source", source), ("target", target)):
             if missing := [k for k in keys if k not in df.columns]:
                 raise MetadataError(f"Key columns missing in {label}: {', '.join(missing)}")
         by = ([_CHUNK] if chunked else []) + keys
         timings.start("dataset_check")
+        kept = diff.condensed(diff.keyed_diff(side(source), side(target), by, values, flag)).persist()
         try:
-            d = diff.keyed_diff(side(source), side(target), by, values, flag)
-            row = diff.stats(d, values).first()
+            row = diff.stats(kept, values).first()
             if not row["total_source_rows"] and not row["total_target_rows"]:
                 raise _Skip
             stats = CheckStats(**{k: row[k] for k in STATS_INTS + STATS_FLOATS})
-            details = CheckDetails(issue_breakdown=pd.DataFrame(columns=["column_name", "issue_count"]), issue_examples=pd.DataFrame(columns=["primary_key", "column_name", "source_value", "target_value"]))
-            counted = sorted(((v, n) for v, n in zip(values, row["issues"], strict=True) if n), key=lambda x: (-x[1], x[0]))
+            details = CheckDetails(
+                issue_breakdown=pd.DataFrame(columns=["column_name", "issue_count"]),
+                issue_examples=pd.DataFrame(columns=["primary_key", "column_name", "source_value", "target_value"]),
+            )
+            counted = [(v, n) for v, n in zip(values, row["issues"], strict=True) if n]
             if counted:
+                counted.sort(key=lambda x: (-x[1], x[0]))
                 details.issue_breakdown = pd.DataFrame(counted, columns=["column_name", "issue_count"])
-            self._examples(d, keys, values, stats, bool(counted), limit, details)
+            self._examples(kept, keys, values, stats, bool(counted), limit, details)
             return stats, details
         finally:
+            kept.unpersist()
             timings.end("dataset_check")
 
     @staticmethod
     def _examples(d: DataFrame, keys: list[str], values: list[str], stats: CheckStats, issues: bool, limit: int, out: CheckDetails) -> None:
-        """Examples for what the numbers say is there; the rows with a problem are kept for the few questions asked of them."""
-        wanted = {"source_only_keys_examples": (stats.only_source_rows, diff.only_source()), "target_only_keys_examples": (stats.only_target_rows, diff.only_target()), "dup_source_keys_examples": (stats.dup_source_rows, F.col(diff.N_S) > 1), "dup_target_keys_examples": (stats.dup_target_rows, F.col(diff.N_T) > 1)}
-        if limit <= 0 or not (issues or any(n for n, _ in wanted.values())):
+        """Examples for what the numbers say is there."""
+        if limit <= 0:
             return
-        some = d.where(diff.mismatch() | diff.only_source() | diff.only_target() | (F.col(diff.N_S) > 1) | (F.col(diff.N_T) > 1)).persist()
-        try:
-            one = lambda r: r[0] if len(keys) == 1 else tuple(r)
-            for name, (n, which) in wanted.items():
-                if n:
-                    rows = diff.keys_where(some, keys, which).distinct().orderBy(*[F.col(f"`{k}`") for k in keys]).limit(limit).collect()
-                    setattr(out, name, tuple(one(r) for r in rows))
-            if issues:
-                rows = diff.value_examples(some, keys, values, limit).orderBy("column_name", *[F.col(f"`{k}`") for k in keys]).collect()
-                out.issue_examples = pd.DataFrame([(one(r[: len(keys)]), *r[len(keys) :]) for r in rows], columns=["primary_key", "column_name", "source_value", "target_value"])
-                rows = diff.row_examples(some, keys, values, limit)
-                out.issue_row_examples = pd.DataFrame([tuple(r) for r in rows.collect()], columns=rows.columns)
-        finally:
-            some.unpersist()
+        wanted = {
+            "source_only_keys_examples": (stats.only_source_rows, diff.only_source()),
+            "target_only_keys_examples": (stats.only_target_rows, diff.only_target()),
+            "dup_source_keys_examples": (stats.dup_source_rows, F.col(diff.N_S) > 1),
+            "dup_target_keys_examples": (stats.dup_target_rows, F.col(diff.N_T) > 1),
+        }
+
+        def one(key: tuple):
+            return key[0] if len(keys) == 1 else tuple(key)
+
+        by_key = [F.col(f"`{k}`") for k in keys]
+        for name, (n, which) in wanted.items():
+            if n:
+                rows = diff.keys_where(d, keys, which).distinct().orderBy(*by_key).limit(limit).collect()
+                setattr(out, name, tuple(one(r) for r in rows))
+        if issues:
+            rows = diff.value_examples(d, keys, values, limit).orderBy("column_name", *by_key).collect()
+            told = [(one(r[: len(keys)]), *r[len(keys) :]) for r in rows]
+            out.issue_examples = pd.DataFrame(told, columns=["primary_key", "column_name", "source_value", "target_value"])
+            pairs = diff.row_examples(d, keys, values, limit)
+            out.issue_row_examples = pd.DataFrame([tuple(r) for r in pairs.collect()], columns=pairs.columns)
 
     def _keys(self, custom: list[str], source_ref: DataReference, target_ref: DataReference, source: DataFrame, target: DataFrame) -> list[str]:
         if custom:
@@ -175,12 +188,8 @@ class DataQualityChecker:
         day, changed = (date_column or "").lower() or None, (update_column or "").lower() or None
 
         def body(run: dict, timings: CheckRunTimings) -> Outcome:
-            timings.start("source_query")
-            source = self.source.table(source_table)
-            timings.end("source_query")
-            timings.start("target_query")
-            target = self.target.table(target_table)
-            timings.end("target_query")
+            days = (day, start, end)
+            source, target = self.source.table(source_table, self.timezone, days), self.target.table(target_table, self.timezone, days)
             keys = self._keys(_lower(custom_primary_key), source_table, target_table, source, target)
             columns = self._columns(source, target, keys, _lower(include_columns), _lower(exclude_columns))
             if missing := [k for k in keys if k not in columns]:
@@ -220,17 +229,13 @@ class DataQualityChecker:
             pairs = ck.paired_chunks(source_params, target_params, chunk_size_days)
             chunked = len(pairs) > 1
 
-            def side(src: SparkSource, sql: str, params: list[dict], label: str) -> DataFrame:
-                timings.start(f"{label}_query")
-                parts = [src.query(sql, p).withColumn(_CHUNK, F.lit(i)) for i, p in enumerate(params)]
-                timings.end(f"{label}_query")
-                out = parts[0]
-                for p in parts[1:]:
-                    out = out.unionByName(p)
+            def side(src: SparkSource, sql: str, params: list[dict]) -> DataFrame:
+                parts = [src.query(sql, p, self.timezone).withColumn(_CHUNK, F.lit(i)) for i, p in enumerate(params)]
+                out = reduce(DataFrame.unionByName, parts)
                 return out if chunked else out.drop(_CHUNK)
 
-            source = side(self.source, source_query, [a for a, _ in pairs], "source")
-            target = side(self.target, target_query, [b for _, b in pairs], "target")
+            source = side(self.source, source_query, [a for a, _ in pairs])
+            target = side(self.target, target_query, [b for _, b in pairs])
             common = [c for c in source.columns if c in target.columns and c not in excluded and c not in (_CHUNK, ct.XRECENTLY_CHANGED_COLUMN)]
             if missing := [k for k in keys if k not in common]:
                 raise MetadataError(f"Key columns missing: {', '.join(missing)}")
@@ -267,23 +272,24 @@ class DataQualityChecker:
                 ck.date_chunks(start, end, chunk_size_days)
             day = date_column.lower()
 
-            def side(src: SparkSource, ref: DataReference, label: str) -> DataFrame:
-                timings.start(f"{label}_query")
-                out = counts.daily_counts(scan.in_days(src.table(ref), day, start, end, self.timezone), day, self.timezone)
-                timings.end(f"{label}_query")
-                return out
+            def side(src: SparkSource, ref: DataReference) -> DataFrame:
+                rows = scan.in_days(src.table(ref, self.timezone, (day, start, end)), day, start, end, self.timezone)
+                return counts.daily_counts(rows, day, self.timezone)
 
-            days = counts.aligned(side(self.source, source_table, "source"), side(self.target, target_table, "target"))
+            # A row for each day: kept for the questions below.
+            days = counts.aligned(side(self.source, source_table), side(self.target, target_table)).persist()
             timings.start("dataset_check")
             total = counts.totals(days).first().asDict()
             if total["counts_diff_pct"] is None:
                 raise _Skip
-            d = days.select("dt", F.lit(1).cast("long").alias(diff.N_S), F.lit(1).cast("long").alias(diff.N_T), F.struct(F.col("source_cnt").alias("cnt")).alias(diff.S), F.struct(F.col("target_cnt").alias("cnt")).alias(diff.T))
+            one, cnt = F.lit(1).cast("long"), lambda side: F.struct(F.col(f"{side}_cnt").alias("cnt"))
+            d = days.select("dt", one.alias(diff.N_S), one.alias(diff.N_T), cnt("source").alias(diff.S), cnt("target").alias(diff.T))
             row = diff.stats(d, ["cnt"]).first()
             stats, details = CheckStats(**{k: row[k] for k in STATS_INTS + STATS_FLOATS}), CheckDetails(evaluated_columns=["cnt"])
             if row["issues"][0]:
                 details.issue_breakdown = pd.DataFrame([("cnt", row["issues"][0])], columns=["column_name", "issue_count"])
                 self._examples(d, ["dt"], ["cnt"], stats, True, max_examples or 0, details)
+            days.unpersist()
             timings.end("dataset_check")
             text = rp.count_report(total, details, run, (source_table.full_name, target_table.full_name))
             return status_of(total["counts_diff_pct"], tolerance_pct), text, stats, details
@@ -295,20 +301,21 @@ class DataQualityChecker:
 
         def body(run: dict, timings: CheckRunTimings) -> Outcome:
             parts = ck.param_chunks(source_params, chunk_size_days)
-            timings.start("source_query")
-            df = self.source.query(source_query, parts[0])
-            for p in parts[1:]:
-                df = df.unionByName(self.source.query(source_query, p))
-            timings.end("source_query")
+            df = reduce(DataFrame.unionByName, [self.source.query(source_query, p, self.timezone) for p in parts])
             timings.start("dataset_check")
             details = CheckDetails(evaluated_columns=df.columns)
             if ct.XSNIFF_PASSED_COLUMN not in df.columns and not df.limit(1).count():
                 stats = CheckStats()
             else:
-                row = sniff.stats(df).first()
+                flags = sniff.breakdown(df)
+                rows = flags.collect()
+                row = sniff.stats_of(rows)
                 pct = row["issue_rows_pct"]
-                stats = CheckStats(total_source_rows=row["total_source_rows"], comparable_rows=row["total_source_rows"], passed_rows=row["passed_rows"], issue_rows_pct=pct, max_issue_pct=pct, median_issue_pct=pct, final_diff_score=row["final_diff_score"], final_score=row["final_score"])
-                details.issue_breakdown = sniff.breakdown(df).toPandas() if row["total_source_rows"] else pd.DataFrame()
+                stats = CheckStats(
+                    total_source_rows=row["total_source_rows"], comparable_rows=row["total_source_rows"], passed_rows=row["passed_rows"],
+                    issue_rows_pct=pct, max_issue_pct=pct, median_issue_pct=pct, final_diff_score=pct, final_score=row["final_score"],
+                )
+                details.issue_breakdown = pd.DataFrame([tuple(r) for r in rows], columns=flags.columns) if rows else pd.DataFrame()
                 if row["issue_rows"] and max_examples:
                     some = sniff.examples(df, max_examples)
                     details.issue_row_examples = pd.DataFrame([tuple(r) for r in some.collect()], columns=some.columns)
