@@ -3,12 +3,15 @@
 Numbers, units that follow a number, and capitalised words inside a sentence become placeholders that remember their
 value.  Every window of `window` tokens of every document is hashed on its template and meets the windows of the
 benchmark.  A document leaks an item when its windows cover enough of the item's tokens and the slots of one of its
-alignments agree: one value of the item always stands for one value of the document, whatever that is.  So verbatim copies and questions with new
-names or numbers are both found.  DataFrame operations only.
+alignments agree in both directions: one value of the item always stands for one value of the document, and no other
+value of the item for the same one.  So verbatim copies and questions with new names or numbers are both found.
+DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,64 +50,115 @@ def _windows(hashes: Column, width: int) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<long>"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 5, min_literals: int = 4, min_cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+_KEY = ["id", "item", "n"]
+
+
+def _same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
+    """Null-safe equality of columns of a with those of b that have a 2 behind their name."""
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c + "2"]) for c in columns])
+
+
+def _item_windows(items: DataFrame, window: int, min_literals: int) -> list[tuple[int, bool, DataFrame]]:
+    """(width, exact, windows(item, n, ipos, h)) of the benchmark: template windows with enough literals, and the other
+    windows by their values; widths are those of short items and `window`."""
+    per = items.withColumn("width", F.least(F.lit(window), "n"))
+    widths = sorted(r["width"] for r in per.select("width").distinct().collect())  # window values at most
+    out = []
+    for exact in (False, True):
+        for width in widths:
+            hashes = _windows(_hashes(F.col("toks"), exact), width)
+            rows = per.where(F.col("width") == width).select("item", "n", "toks", F.posexplode(hashes).alias("ipos", "h"))
+            literals = F.size(F.filter(F.slice("toks", F.col("ipos") + 1, width), lambda x: ~_slot(x)))
+            enough = literals >= min(min_literals, (width + 1) // 2)
+            found = durable(rows.where(~enough if exact else enough).select("item", "n", "ipos", "h"), "bench-windows")
+            if found.limit(1).count():
+                out.append((width, exact, found))
+    return out
+
+
+def _met(toks: DataFrame, plan: list[tuple[int, bool, DataFrame]]) -> DataFrame:
+    """(id, item, n, ipos, diag, width): windows of documents that meet windows of items; diag tells their alignment."""
+    parts = []
+    for width, exact, windows in plan:
+        here = toks.select("id", _hashes(F.col("toks"), exact).alias("hs"))
+        here = here.select("id", F.posexplode(_windows(F.col("hs"), width)).alias("pos", "h")).join(guarded(windows), "h")
+        parts.append(here.select(*_KEY, "ipos", (F.col("pos") - F.col("ipos")).alias("diag"), F.lit(width).alias("width")))
+    return durable(reduce(DataFrame.unionByName, parts), "bench-met")
+
+
+def _candidates(met: DataFrame, min_cover: float) -> DataFrame:
+    """(id, item, n, covered, diag, windows, a, b): alignments to check.  Of each pair whose windows cover enough, these
+    are the diagonals that cover enough by themselves, and those with the most windows; they span items from a to b."""
+
+    def tokens_of(p: Column) -> Column:
+        return F.sequence(p, p + F.col("width") - 1)
+
+    spread = F.size(F.array_distinct(F.flatten(F.transform("ips", tokens_of))))
+    places = F.collect_set("ipos").alias("ips")  # of one item: no more than it has tokens
+    cover = met.groupBy(*_KEY, "width").agg(places).select(*_KEY, spread.alias("covered"))
+    cover = cover.groupBy(*_KEY).agg(F.max("covered").alias("covered")).where(F.col("covered") >= F.col("n") * min_cover)
+    runs = met.groupBy(*_KEY, "width", "diag").agg(places)
+    span = [F.array_min("ips").alias("a"), (F.array_max("ips") + F.col("width")).alias("b")]
+    runs = durable(runs.select(*_KEY, "diag", F.size("ips").alias("windows"), *span, spread.alias("own")), "bench-runs")
+    most = runs.groupBy(*_KEY).agg(F.max("windows").alias("most")).toDF("id2", "item2", "n2", "most")
+    most = cover.join(most, _same(cover, most, *_KEY)).select(*[F.col(c).alias(c + "2") for c in _KEY], "covered", "most")
+    kept = (F.col("own") >= F.col("n") * min_cover) | (F.col("windows") == F.col("most"))
+    found = runs.join(most, _same(runs, most, *_KEY)).where(kept)
+    return durable(found.select(*_KEY, "covered", "diag", "windows", "a", "b"), "bench-candidates")
+
+
+def _slots(aligned: DataFrame) -> DataFrame:
+    """n_slots and n_conflicts of alignments of itoks and toks.  A slot is a value of the item with what stands for it;
+    every further partner that either of the two has is a conflict."""
+    size = F.col("b") - F.col("a")
+    theirs = F.slice("toks", F.greatest(F.col("a") + F.col("diag"), F.lit(0)) + 1, size)
+    pairs = F.arrays_zip(F.slice("itoks", F.col("a") + 1, size).alias("x"), theirs.alias("y"))
+    at = [*_KEY, "covered", "windows", "diag"]
+    slots = aligned.select(*at, F.array_distinct(F.filter(pairs, lambda p: _slot(p["x"]))).alias("slots"))
+
+    def values(side: str) -> Column:
+        return F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
+
+    slots = slots.select(*at, F.size("slots").alias("n_pairs"), values("x").alias("n_slots"), values("y").alias("n_partners"))
+    conflicts = 2 * F.col("n_pairs") - F.col("n_slots") - F.col("n_partners")
+    return slots.withColumn("n_conflicts", conflicts)
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 5, min_literals: int = 4, min_cover: float = 0.5,
+    max_conflicts: float = 0.25, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+) -> DataFrame:
     """(id_col, item_col, covered, item_tokens, n_slots, n_conflicts): one row per document and leaked item.
 
     Items shorter than `window` tokens are matched as one window; those under min_tokens tokens hold too little to be
     evidence and match nothing.  Windows with fewer than min_literals tokens besides placeholders (or than half of a
-    shorter window) say too little as templates; these are matched on their values instead, in every item.  Null
-    texts have no tokens.  Rows with the same id count as one document, null ids as one document with a null id;
-    repeated items are matched alike, items with a null id too.  Extra columns are ignored.
+    shorter window) say too little as templates; these are matched on their values instead, in every item.  An
+    alignment agrees if its conflicts are at most max_conflicts of its slots.  Null texts have no tokens; very long
+    texts are searched whole.  Rows with the same id count as one document, null ids as one document with a null id;
+    repeated items are matched alike, items with a null id too.  Extra columns are ignored; an empty table on either
+    side gives an empty table.
     """
-    spark = docs.sparkSession
-    items = durable(benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") >= min_tokens).withColumn("n", F.size("toks")).distinct(), "bench-items")
-    plan = []
-    for exact in (False, True):
-        per = items.withColumn("width", F.least(F.lit(window), "n"))
-        rows = []
-        for width in sorted(r["width"] for r in per.select("width").distinct().collect()):  # window values at most
-            w = per.where(F.col("width") == width).withColumn("hs", _windows(_hashes(F.col("toks"), exact), width))
-            good = F.size(F.filter(F.slice("toks", F.col("ipos") + 1, width), lambda x: ~_slot(x))) >= min(min_literals, (width + 1) // 2)
-            w = w.select("item", "n", "toks", F.posexplode("hs").alias("ipos", "h")).where(~good if exact else good)
-            rows.append((width, w.select("item", "n", "ipos", "h")))
-        plan += [(width, exact, durable(w, "bench-windows")) for width, w in rows]
-    plan = [(width, exact, w) for width, exact, w in plan if w.limit(1).count()]
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{item_col}` {dict(benchmark.dtypes)[item_col]}, covered long, item_tokens long, n_slots long, n_conflicts long"
+    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("toks")).withColumn("n", F.size("toks"))
+    items = durable(items.where(F.col("n") >= min_tokens).distinct(), "bench-items")
+    plan = _item_windows(items, window, min_literals)
     if not plan:
-        return spark.createDataFrame([], schema)
+        kinds = f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{item_col}` {dict(benchmark.dtypes)[item_col]}"
+        return docs.sparkSession.createDataFrame([], f"{kinds}, covered long, item_tokens long, n_slots long, n_conflicts long")
 
-    met = None
     toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    for exact in sorted({e for _, e, _ in plan}):
-        hashed = toks.select("id", _hashes(F.col("toks"), exact).alias("hs"))
-        for width, _, w in [p for p in plan if p[1] == exact]:
-            here = hashed.select("id", F.posexplode(_windows(F.col("hs"), width)).alias("pos", "h")).join(guarded(w), "h")
-            here = here.select("id", "item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("diag"), F.lit(width).alias("width"))
-            met = here if met is None else met.unionByName(here)
-    met = durable(met, "bench-met")
-    spread = F.size(F.array_distinct(F.flatten(F.transform(F.col("ips"), lambda p: F.sequence(p, p + F.col("width") - 1)))))
-    cover = met.groupBy("id", "item", "n", "width").agg(F.collect_set("ipos").alias("ips")).select("id", "item", "n", spread.alias("covered"))
-    cover = cover.groupBy("id", "item", "n").agg(F.max("covered").alias("covered")).where(F.col("covered") >= F.col("n") * min_cover)
-    # Alignments to check: every diagonal that covers enough by itself, and those with the most windows.
-    runs = met.groupBy("id", "item", "n", "width", "diag").agg(F.collect_set("ipos").alias("ips"))
-    runs = durable(runs.select("id", "item", "n", "diag", F.size("ips").alias("windows"), F.array_min("ips").alias("a"), (F.array_max("ips") + F.col("width")).alias("b"), spread.alias("own")), "bench-runs")
-    most = cover.join(runs.groupBy("id", "item", "n").agg(F.max("windows").alias("most")).toDF("i3", "t3", "n3", "most"), F.col("id").eqNullSafe(F.col("i3")) & F.col("item").eqNullSafe(F.col("t3")) & (F.col("n") == F.col("n3"))).select(F.col("id").alias("i3"), F.col("item").alias("t3"), F.col("n").alias("n3"), "covered", "most")
-    same = F.col("id").eqNullSafe(F.col("i3")) & F.col("item").eqNullSafe(F.col("t3")) & (F.col("n") == F.col("n3"))
-    cand = runs.join(most, same).where((F.col("own") >= F.col("n") * min_cover) | (F.col("windows") == F.col("most")))
-    cand = durable(cand.select("id", "item", "n", "covered", "diag", "windows", "a", "b"), "bench-candidates")
-
-    ids = cand.select(F.col("id").alias("cid")).distinct()
-    found = toks.join(guarded(ids), F.col("id").eqNullSafe(F.col("cid")), "left_semi")
-    aligned = found.join(cand.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid"))).join(guarded(items.select(F.col("item").alias("i2"), F.col("n").alias("n2"), F.col("toks").alias("itoks"))), F.col("item").eqNullSafe(F.col("i2")) & (F.col("n") == F.col("n2")))
-    size = F.col("b") - F.col("a")
-    pairs = F.arrays_zip(F.slice("itoks", F.col("a") + 1, size).alias("x"), F.slice("toks", F.greatest(F.col("a") + F.col("diag"), F.lit(0)) + 1, size).alias("y"))
-    slots = F.array_distinct(F.filter(pairs, lambda p: _slot(p["x"])))
-    at = ["id", "item", "n", "covered", "windows", "diag"]
-    seen = aligned.select(*at, slots.alias("slots"))
-    seen = seen.select(*at, F.size(F.array_distinct(F.transform("slots", lambda p: p["x"]))).alias("n_slots"), F.size("slots").alias("n_pairs"))
-    seen = seen.withColumn("n_conflicts", F.col("n_pairs") - F.col("n_slots")).where(F.col("n_conflicts") * 4 <= F.col("n_slots"))
-    # Of the consistent alignments the one with the most windows is told, the last of them on a tie.
-    told = F.max(F.struct("windows", "diag", (-F.col("n_conflicts")).alias("c"), (-F.col("n_slots")).alias("s"))).alias("told")
-    out = seen.groupBy("id", "item").agg(*[F.max(c).cast("long").alias(c) for c in ("covered", "n")], told)
-    out = out.select("id", "item", "covered", "n", (-F.col("told.s")).cast("long").alias("n_slots"), (-F.col("told.c")).cast("long").alias("n_conflicts"))
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "covered", F.col("n").alias("item_tokens"), "n_slots", "n_conflicts")
+    cand = _candidates(_met(toks, plan), min_cover)
+
+    # Tokens are read again of documents with a candidate only.
+    ids = durable(cand.select(F.col("id").alias("id2")).distinct(), "bench-ids")
+    found = toks.join(guarded(ids), _same(toks, ids, "id"), "left_semi")
+    cand = cand.withColumnRenamed("id", "id2")
+    texts = items.select(F.col("item").alias("item2"), F.col("n").alias("n2"), F.col("toks").alias("itoks"))
+    aligned = found.join(cand, _same(found, cand, "id"))
+    aligned = aligned.join(guarded(texts), F.col("item").eqNullSafe(F.col("item2")) & (F.col("n") == F.col("n2")))
+    agreed = _slots(aligned).where(F.col("n_conflicts") <= F.col("n_slots") * max_conflicts)
+
+    # Of the alignments that agree the one with the most windows is told, the last of them on a tie.
+    best = F.max(F.struct("windows", "diag", (-F.col("n_conflicts")).alias("c"), (-F.col("n_slots")).alias("s"))).alias("told")
+    out = agreed.groupBy("id", "item").agg(F.max("covered").alias("covered"), F.max("n").alias("n"), best)
+    numbers = {"covered": F.col("covered"), "item_tokens": F.col("n"), "n_slots": -F.col("told.s"), "n_conflicts": -F.col("told.c")}
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), *[c.cast("long").alias(k) for k, c in numbers.items()])
