@@ -200,6 +200,59 @@ def test_reply_trees(spark):
     assert chat.format_trees(src.limit(0)).count() == 0
 
 
+def plain_trees(rows, branches):
+    """{(conv, leaf): (branch, score, node ids from the root)} of the best branches, by walking up from every leaf."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        nodes = {n: (p, s) for c, n, p, _, _, s in rows if c == conv}
+        inner = {p for p, _ in nodes.values()}
+        found = []
+        for leaf in nodes.keys() - inner:
+            path, at = [], leaf
+            while at in nodes and len(path) <= len(nodes):
+                path.append(at)
+                at = nodes[at][0]
+            if len(path) <= len(nodes):
+                found.append((-sum(nodes[n][1] for n in path) / len(path), leaf, path[::-1]))
+        for k, (score, leaf, path) in enumerate(sorted(found)[:branches]):
+            out[conv, leaf] = (k + 1, pytest.approx(-score), path)
+    return out
+
+
+def test_reply_trees_equal_a_plain_walk(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for conv in range(30):
+        for node in range(int(rng.integers(1, 40))):
+            parent = int(rng.integers(0, node)) if node and rng.random() > 0.05 else None
+            rows.append((conv, node, parent, "user", f"n{node}", float(rng.integers(0, 5))))
+    comb = [(99, i, i - 1 if i else None, "user", f"n{i}", 1.0) for i in range(120)]
+    comb += [(99, 1000 + i, i, "user", f"n{1000 + i}", float(i == 77)) for i in range(120)]
+    star = [(98, 0, None, "user", "n0", 0.0), *((98, i, 0, "user", f"n{i}", float(i % 7)) for i in range(1, 400))]
+    rows += comb + star
+    src = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
+    for branches in (1, 3, None):
+        got = chat.format_trees(src, branches).select("conv_id", "leaf", "branch", "score", chat.parse(F.col("formatted")).alias("t")).collect()
+        assert {(r["conv_id"], r["leaf"]): (r["branch"], r["score"], [int(t["text"][1:]) for t in r["t"]]) for r in got} == plain_trees(rows, branches)
+
+
+def test_only_paths_that_are_kept_are_listed(spark):
+    """A comb of 240 nodes has 7,380 rows in all its paths; its best branch has 79."""
+    with common.scratch() as made:
+        comb = [(1, i, i - 1 if i else None, "user", "t", 1.0) for i in range(120)]
+        comb += [(1, 1000 + i, i, "user", "t", 100.0 * (i == 77)) for i in range(120)]
+        src = spark.createDataFrame(comb, "conv_id long, node long, parent long, role string, text string, score double")
+        assert chat.format_trees(src.withColumn("branch", F.lit("x"))).first()["n_turns"] == 79
+        assert spark.read.parquet(*[p for p in made if "chat-paths" in p]).count() == 79
+
+
+def test_a_very_long_turn(spark):
+    long = "### x \\ </turn> " * 60_000
+    src = spark.createDataFrame([(1, 0, None, "user", long, 0.0), (1, 1, 0, "assistant", long, 0.0)], "conv_id long, node long, parent long, role string, text string, score double")
+    row = chat.format_trees(src).select(chat.parse(F.col("formatted")).alias("t"), chat.under_mask(F.col("formatted"), F.col("loss_spans"), F.col("turn_starts")).alias("m")).first()
+    assert [t["text"] for t in row["t"]] == [long, long] and row["m"] == long
+
+
 # 4
 
 
@@ -648,6 +701,30 @@ def test_leaks_find_verbatim_copies_of_items_with_few_literals(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(spark, rows), bench).collect()) == [(1, 1), (2, 2)]
 
 
+def test_leaks_find_new_names_numbers_and_units(spark):
+    """The plain rule of a template match: other values at the same places, each for one value and the other way round."""
+    item = "A train with Anna aboard leaves at 9 and covers 300 km in 4 hours while Boris waits and then Anna meets Boris at 13 sharp."
+    other = "A train with {a} aboard leaves at {x} and covers {y} {u} in {z} hours while {b} waits and then {c} meets {d} at {w} sharp."
+    say = lambda **k: other.format(**{"a": "Ida", "b": "Tom", "c": "Ida", "d": "Tom", "x": 7, "y": 450, "u": "miles", "z": 5, "w": 12} | k)
+    rows = [
+        (1, item),
+        (2, "Intro. " + say() + " End."),
+        (3, say(c="Eva", d="Max", x=5, w=450)),  # two names have two partners, and two numbers one
+        (4, say(a="Tom", b="Tom", c="Tom", d="Tom", x=12)),  # two names became one, two numbers too
+        (5, say(u="kg", y="1,250.5")),
+        (6, "A boat with Anna aboard sinks at 9 and nothing else of this is the same at all for Boris."),
+        (7, None),
+    ]
+    found = decontam.leaks(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"), max_conflicts=0.0)
+    got = {r["doc_id"]: (r["n_slots"], r["n_conflicts"]) for r in found.collect()}
+    assert got == {1: (8, 0), 2: (8, 0), 5: (8, 0)}
+
+
+def test_leaks_without_broadcasts(spark, docs, nothing_broadcast):
+    test_leaks(spark, docs)
+    test_leaks_equal_brute_force(spark, docs)
+
+
 def test_leaks_check_every_alignment(spark):
     item, other = "A farmer has 12 red apples and gives Anna 5 of them before Anna leaves.", "A farmer has 40 red apples and gives Berta 7 of them before Clara leaves."
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
