@@ -12,8 +12,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,24 +26,39 @@ from pyspark.sql import functions as F
 from .common import durable, guarded
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_FILE = 16_000_000  # bytes after which a new archive is begun
-_SALT = 16
+FILE_BYTES = 512_000_000  # after which a task begins a new archive
+READ_BYTES = 128_000_000  # of archives for one reading task
+_NAMES = uuid.UUID("6f0b54a2-2a0c-4c2e-9a7e-0c1d8a2f7b11")  # of record ids
 
 
 def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC record, uncompressed.  The HTTP header states the length of the full payload in either case."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def response_id(page_id: int | None, digest: str) -> str:
+    """Record id of the response that holds a payload: the same wherever it is computed, so revisits can name it."""
+    return uuid.uuid5(_NAMES, f"{page_id}/{digest}").urn
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str, own_id: str) -> bytes:
+    """One WARC record, uncompressed.  The HTTP header states the length of the full payload in either case; a revisit
+    needs no payload.  Page ids travel in a header of our own."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    name = lambda i: f"<urn:page:{'none' if i is None else i}>"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url or '')}", f"WARC-Payload-Digest: sha1:{digest}"]
+    number = lambda i: "none" if i is None else str(i)
+    head = {
+        "WARC-Type": "revisit" if revisit else "response",
+        "WARC-Record-ID": f"<{own_id if revisit else response_id(page_id, digest)}>",
+        "WARC-Date": date,
+        "WARC-Target-URI": _line(url or ""),
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "X-Page-ID": number(page_id),
+    }
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]
-    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{response_id(refers_to, digest)}>", "X-Refers-To-Page-ID": number(refers_to)}
+    head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(block))}
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head.items())]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def _packed(raw: bytes) -> bytes:
@@ -60,57 +77,79 @@ def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payl
     once with the payload while being its first: one of these rows is the response, the rest revisit it.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    heads = durable(pages.select(F.col(id_col).cast("long").alias("pid"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("size")).groupBy("pid", "sha", "size").agg(F.count("*").alias("copies")), "warc-heads")
-    groups = heads.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min("pid").alias("first"), F.sum("copies").alias("n")).where("n > 1")
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
-    met = heads.where(F.col("size") >= min_bytes).withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(_SALT)).cast("int")).join(spread, ["sha", "salt"])
+    heads = pages.select(F.col(id_col).cast("long").alias("pid"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("size"))
+    heads = durable(heads.groupBy("pid", "sha", "size").agg(F.count("*").alias("copies")), "warc-heads").where(F.col("size") >= min_bytes)
+    groups = heads.groupBy("sha").agg(F.min("pid").alias("first"), F.sum("copies").alias("n")).where("n > 1")
+    # A payload that very many pages share is one row of the stored groups; see common.guarded() on hot keys.
+    met = heads.join(durable(groups.select("sha", "first"), "warc-groups"), "sha")
     own = F.col("pid").eqNullSafe(F.col("first"))
     return met.where(~own | (F.col("copies") > 1)).select("pid", "sha", "first", own.alias("tied"))
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def _tied(src: DataFrame) -> DataFrame:
+    """Records of tied rows.  Only heads are kept to choose the response of each (pid, sha); its payload is taken from
+    any of the rows, which are alike, and all others need none."""
+    rows = src.select("pid", "url", "sha", "size", "first", F.monotonically_increasing_id().alias("row"))
+    rows = durable(rows, "warc-tied")  # so a row keeps its number
+    chosen = durable(rows.groupBy("pid", "sha").agg(F.min("row").alias("row")), "warc-chosen")
+    is_chosen = rows["pid"].eqNullSafe(chosen["pid"]) & (rows["sha"] == chosen["sha"]) & (rows["row"] == chosen["row"])
+    again = rows.join(chosen, is_chosen, "left_anti").select("pid", "url", F.lit(None).cast("binary").alias("payload"), "sha", "size", "first", F.lit(True).alias("again"))
+    payloads = src.groupBy("pid", "sha").agg(F.max("payload").alias("payload"))
+    of = payloads.select(F.col("pid").alias("p2"), F.col("sha").alias("s2"), "payload")
+    first = rows.join(chosen, is_chosen, "left_semi").join(of, F.col("pid").eqNullSafe(F.col("p2")) & (F.col("sha") == F.col("s2")))
+    return again.unionByName(first.select("pid", "url", "payload", "sha", "size", "first", F.lit(False).alias("again")))
+
+
+def write(
+    pages: DataFrame, folder: str, min_bytes: int = 0, date: str | None = None, id_col: str = "page_id", url_col: str = "url",
+    payload_col: str = "html", file_bytes: int = FILE_BYTES,
+) -> DataFrame:
     """Write one record per row of pages to archives under folder; returns the manifest (file, records, bytes).
 
-    Null payloads are empty, null URLs an empty header, null ids `none`.  Extra columns are ignored.  An empty table
-    makes no archive.
+    Headers are fresh: records get ids of their own, and the time of writing unless date says another.  Null payloads
+    are empty, null URLs an empty header, null ids `none`; repeated rows are records of their own.  Payloads are written
+    whole.  Extra columns are ignored.  An empty table makes no archive.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     marks = durable(revisits(pages, min_bytes, id_col, payload_col), "warc-revisits")
-    src = pages.select(F.col(id_col).cast("long").alias("pid"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    src = pages.select(F.col(id_col).cast("long").alias("pid"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    src = src.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    key = marks.select(F.col("pid").alias("p2"), F.col("sha").alias("s2"), "first", "tied")
+    met = src.join(guarded(key), F.col("pid").eqNullSafe(F.col("p2")) & (F.col("sha") == F.col("s2")), "left")
+    columns = ["pid", "url", "payload", "sha", "size", "first"]
+    out = met.where(F.coalesce(~F.col("tied"), F.lit(True))).select(*columns, F.col("s2").isNotNull().alias("again"))
     if marks.where("tied").limit(1).count():
-        src = src.repartition("pid")  # rows of one id meet in one task, which picks the response among equals
-    key = marks.select(F.col("pid").alias("p2"), F.col("sha").alias("s2"), "first", "tied", F.lit(True).alias("again"))
-    src = src.join(guarded(key), F.col("pid").eqNullSafe(F.col("p2")) & (F.sha1("payload") == F.col("s2")), "left").select("pid", "url", "payload", "first", F.coalesce("tied", F.lit(False)).alias("tied"), F.coalesce("again", F.lit(False)).alias("again"))
+        out = out.unionByName(_tied(met.where("tied").select(*columns)))
+    out = out.withColumn("payload", F.when(~F.col("again"), F.col("payload")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
-        name = f"{task.partitionId():05d}-{task.taskAttemptId()}" if task else "00000-0"
-        out, seen, k, n, size = None, set(), 0, 0, 0
-        done: list[tuple[str, int, int]] = []
+        name = f"{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}" if task else uuid.uuid4().hex
+        file, n, size, done = None, 0, 0, []
         for b in batches:
-            for pid, url, payload, first, tied, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                digest = digest_of(payload)
-                if tied:
-                    again = (pid, digest) in seen
-                    seen.add((pid, digest))
-                if out is None:
-                    path = f"{name}-{k:04d}.warc.gz"
-                    out, n, size = store.open_output_stream(f"{root}/{path}", compression=None), 0, 0
-                data = _packed(record(pid, url, payload, digest, first, again, date))
-                out.write(data)
+            for pid, url, payload, sha, length, first, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file is None:
+                    path = f"{name}-{len(done):04d}.warc.gz"
+                    file, n, size = store.open_output_stream(f"{root}/{path}", compression=None), 0, 0
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                data = _packed(record(pid, url, payload, length, digest, first, again, date, uuid.uuid4().urn))
+                file.write(data)
                 n, size = n + 1, size + len(data)
-                if size >= _FILE:
-                    out.close()
+                if size >= file_bytes:
+                    file.close()
                     done.append((path, n, size))
-                    out, k = None, k + 1
-        if out is not None:
-            out.close()
+                    file = None
+        if file is not None:
+            file.close()
             done.append((path, n, size))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "records", "bytes"])
+            columns = zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["file", "records", "bytes"])
 
-    return durable(src.mapInArrow(run, "file string, records long, bytes long"), "warc-manifest")
+    return durable(out.mapInArrow(run, "file string, records long, bytes long"), "warc-manifest")
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -133,30 +172,38 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the archives in the manifest; digests and lengths of responses are taken from their payloads."""
 
-    def number(urn: str | None) -> int | None:
-        tail = (urn or "").strip("<>").rpartition(":")[2]
-        return int(tail) if tail.lstrip("-").isdigit() else None
+    def number(told: str) -> int | None:
+        return None if told == "none" else int(told)
+
+    def row(file: str, head: dict[str, str], block: bytes) -> tuple:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        revisit = head["warc-type"] == "revisit"
+        size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        told = head["warc-payload-digest"].removeprefix("sha1:")
+        if not revisit and (size != len(payload) or told != digest_of(payload)):
+            raise ValueError(f"{file}: a payload of {len(payload)} bytes isn't the one announced, {size} bytes, {told}")
+        refers_to = number(head["x-refers-to-page-id"]) if revisit else None
+        return number(head["x-page-id"]), head["warc-target-uri"], size, told, head["warc-type"], refers_to, head["warc-date"]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in READ.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in READ.split(", ")])
         for b in batches:
             for file in b.column(0).to_pylist():
                 rows = []
                 with store.open_input_stream(f"{root}/{file}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                    for h, block in records(stream):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        revisit = h["warc-type"] == "revisit"
-                        told = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        if not revisit and told != len(payload):
-                            raise ValueError(f"{file}: a payload of {len(payload)} bytes where {told} are announced")
-                        rows.append((number(h["warc-record-id"]), h["warc-target-uri"], told, h["warc-payload-digest"].removeprefix("sha1:") if revisit else digest_of(payload), h["warc-type"], number(h.get("warc-refers-to")) if revisit else None, h["warc-date"]))
+                    for head, block in records(stream):
+                        rows.append(row(file, head, block))
                         if len(rows) >= 5000:
-                            yield pack(rows)
+                            yield packed(rows)
                             rows = []
                 if rows:
-                    yield pack(rows)
+                    yield packed(rows)
 
-    n = max(1, min(manifest.count(), 10_000))
-    return manifest.select("file").repartition(n, "file").mapInArrow(run, READ)
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(files, max(manifest.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))))
+    return manifest.select("file").repartition(tasks, "file").mapInArrow(run, READ)

@@ -581,6 +581,28 @@ def test_warc(spark):
     assert kinds == {"response": len(pages)}
 
 
+def test_archives_have_fresh_headers(spark):
+    import gzip
+
+    pages = [(i, f"u{i}", "same" if i % 2 else f"own {i}") for i in range(40)] + [(1, "again", "same")] * 3
+    folder = new_path(spark, "warc")
+    manifest = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, file_bytes=300).collect()
+    assert sum(r["records"] for r in manifest) == len(pages) and len(manifest) > 8  # a new file whenever one is full
+    heads = []
+    for r in manifest:
+        with gzip.open(f"{folder.removeprefix('file://')}/{r['file']}") as stream:
+            heads += [head for head, _ in warc.records(stream)]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(pages) and all(i.startswith("<urn:uuid:") for i in ids)
+    told = [ids[h["warc-refers-to"]] for h in heads if h["warc-type"] == "revisit"]
+    assert len(told) == 22 and {(h["warc-type"], h["x-page-id"]) for h in told} == {("response", "1")}
+    assert all(h["warc-date"] > "2024-06" for h in heads) and {h["warc-target-uri"] for h in heads} == {u for _, u, _ in pages}
+
+
+def test_archives_without_broadcasts(spark, nothing_broadcast):
+    test_warc(spark)
+
+
 # 9
 
 
