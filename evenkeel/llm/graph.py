@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, new_path
+from .common import delete, durable, new_path
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round makes every node point its larger neighbours at its smallest neighbour (large star) and then its
     smaller neighbours likewise (small star); edges never outgrow the input's and components shrink to stars in a
-    logarithmic number of rounds.  Every round is a table in the shared folder, so a lost executor costs one round
+    logarithmic number of rounds, far below max_rounds; it raises, rather than give unfinished components, beyond.  Every round is a table in the shared folder, so a lost executor costs one round
     at most.  Self loops and repeated edges are allowed, rows with a null end are no edges; an empty table gives an
     empty table.
     """
@@ -31,10 +31,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        # The smallest neighbours are stored, so both sides of each join are plain exchanges, and adaptive execution can
+        # split the many edges of a star's centre, which meet one row.
+        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
+        large = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
+        ends = [F.struct(F.col(x).alias("u"), F.col("m").alias("v")) for x in ("v", "u")]
+        small = large.join(low, "u").select(F.explode(F.array(*ends)).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         nxt = new_path(spark, "edges")
         small.write.parquet(nxt)
         delete(spark, path)

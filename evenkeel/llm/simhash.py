@@ -8,7 +8,9 @@ Two fingerprints link when they differ in at most three bits.  Half of that radi
 * pairs at exactly three bits: one of the two 32-bit words differs in one bit at most, so every fingerprint emits the
   variants within one bit of each word, these meet the words themselves, and each colliding pair is verified on the
   full fingerprint.  Pairs that the first step has already joined are left out inside the join condition, so a dense
-  group of near copies makes no quadratic output.
+  group of near copies makes no quadratic output.  Where very many fingerprints share a word, the same is done once
+  more inside that word: of the two quarters of the other word one differs in one bit at most, so variants of the
+  quarters meet, and no key has more than the 65,536 fingerprints that differ in the other quarter.
 
 The plain full-width form needs balls of one and of two bits (2,081 variants a fingerprint) for an odd radius; the
 words give the same links from 66.
@@ -17,18 +19,19 @@ words give the same links from 66.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt, durable, free, guarded
 from .graph import components
 
-#: Texts with the same fingerprint are spread over so many parts when components are joined back to documents.
-SALT = 8
+#: Fingerprints with one and the same word, beyond which they are told apart by quarters of the other word.
+HEAVY = 1_000
 _CHUNK = 65536
 
 
@@ -83,6 +86,21 @@ def _flips(n: int):
     return F.explode(F.array(*[F.lit(x).cast("long") for x in _bits(n)]))
 
 
+def _quarters(rows: DataFrame) -> DataFrame:
+    """rows twice, with the number and the value of one 16-bit quarter of rest."""
+    parts = [F.struct(F.lit(q).alias("quarter"), F.shiftright("rest", 16 * q).bitwiseAND(F.lit(0xFFFF)).alias("part")) for q in (0, 1)]
+    return rows.select("*", F.explode(F.array(*parts)).alias("x")).select(*rows.columns, "x.quarter", "x.part")
+
+
+def _verified(ball: DataFrame, exact: DataFrame, *on: str) -> DataFrame:
+    """(u, v): roots of fingerprints that meet at the same key, differ in three bits, and aren't joined yet."""
+    other = exact.select(*on, F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    three = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) == 3
+    same = reduce(Column.__and__, [ball[c] == other[c] for c in on])
+    pairs = ball.join(other, same & three & (F.col("root") != F.col("root2")) & (F.col("fp") < F.col("fp2")))
+    return pairs.select(F.col("root").alias("u"), F.col("root2").alias("v"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(fp, root) for every distinct value in fps(fp): root is the same for all that links of three bits or fewer connect."""
     nodes = durable(fps.select("fp").where("fp is not null").distinct(), "simhash-nodes")
@@ -91,13 +109,21 @@ def links(fps: DataFrame) -> DataFrame:
     near = durable(low.select(F.explode("all").alias("u"), "v").where("u <> v").distinct(), "simhash-near")
     first = durable(nodes.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-first")
 
-    word = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.shiftrightunsigned("fp", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF))).alias("w")) for h in (0, 1)])).alias("x")
-    words = dealt(first).select("fp", "root", word).select("fp", "root", "x.h", "x.w")
+    def half(h: int) -> Column:
+        return F.shiftrightunsigned("fp", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    both = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), half(h).alias("w"), half(1 - h).alias("rest")) for h in (0, 1)]))
+    words = dealt(first).select("fp", "root", both.alias("x")).select("fp", "root", "x.*")
     key = lambda w: (F.col("h") * F.lit(1 << 32) + w).alias("at")
-    exact = words.select(key(F.col("w")), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    ball = words.select("fp", "root", "h", "w", _flips(32).alias("f")).select(key(F.col("w").bitwiseXOR(F.col("f"))), "fp", "root")
-    three = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) == 3) & (F.col("root") != F.col("root2")) & (F.col("fp") < F.col("fp2"))
-    far = ball.join(exact, (ball["at"] == exact["at"]) & three).select(F.col("root").alias("u"), F.col("root2").alias("v")).distinct()
+    exact = words.select(key(F.col("w")), "fp", "root", "rest")
+    ball = words.select("fp", "root", "h", "w", "rest", _flips(32).alias("f"))
+    ball = ball.select(key(F.col("w").bitwiseXOR(F.col("f"))), "fp", "root", "rest")
+    heavy = durable(exact.groupBy("at").count().where(F.col("count") > HEAVY).select("at"), "simhash-heavy")
+    light_pairs = _verified(*[side.join(guarded(heavy), "at", "left_anti") for side in (ball, exact)], "at")
+    ball, exact = (side.join(guarded(heavy), "at", "left_semi") for side in (ball, exact))
+    near = _quarters(ball).select("*", _flips(16).alias("f")).withColumn("part", F.col("part").bitwiseXOR(F.col("f"))).drop("f")
+    heavy_pairs = _verified(near, _quarters(exact), "at", "quarter", "part")
+    far = light_pairs.unionByName(heavy_pairs).distinct()
     joined = components(far).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return durable(first.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "simhash-roots")
 
@@ -107,16 +133,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint 0 and link like any other.  Repeated rows and ids are kept.  Rows
     with a null id take part; they never become the component_id unless a whole component has none, then it is null.
-    Extra columns are ignored; an empty table gives an empty table.
+    Ids are whole numbers, by contract; very long texts are hashed whole.  Extra columns are ignored; an empty table
+    gives an empty table.
     """
     fps = durable(fingerprints(docs, id_col, text_col), "simhash-fps")
     root = links(fps)
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     by_root = root.join(least, "fp")
     top = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = root.join(top, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    spread = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
-    return spread.join(labels, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
+    labels = durable(root.join(top, "root").select("fp", "component_id"), "simhash-labels")
+    # Stored on both sides: adaptive execution can split the rows of a fingerprint that very many texts have.
+    return fps.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
