@@ -191,8 +191,8 @@ class Rollup:
         last = durable(last, "token-last")
         state = self.state()
         keys = last.select("doc_id", "tokenizer")
-        # The ledger streams past the keys of the batch; only the entries found are joined.
-        old = state.join(guarded(keys), _same_entry(state, keys), "left_semi")
+        # The ledger streams past the keys of the batch; only the entries found are joined.  At first it is empty.
+        old = state.join(guarded(keys), _same_entry(state, keys), "left_semi") if number > 1 else state
         old = old.select(F.col("doc_id").alias("d"), F.col("tokenizer").alias("t"), F.col("seq").alias("old_seq"), (~F.col("gone")).alias("was_live"), *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "n_tokens")])
         met = last.join(old, last["doc_id"].eqNullSafe(old["d"]) & last["tokenizer"].eqNullSafe(old["t"]), "left")
         met = met.where("old_seq is null or seq >= old_seq")
