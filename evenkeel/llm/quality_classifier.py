@@ -3,7 +3,8 @@
 A logistic model on a few text features, fitted on a bounded labelled sample, gives each document's evidence.  Grouped
 sums of that evidence give every host a beta posterior around the global prior and every path one around its host;
 the prior strengths come from the spread between groups, so sparse sites shrink toward the global mean.  A document's
-posterior moves its own evidence by how much its path departs from the global mean.
+posterior moves its own evidence by how much the other documents of its path, shrunk toward the others of its host,
+depart from the global mean; its own evidence counts once.
 """
 
 from __future__ import annotations
@@ -48,9 +49,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     largest features counts, so a repeated id is one training row.  Without rows of both labels: weights of 0 and the
     share of good rows as bias.
     """
-    ids = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").cast("int").alias("y"))
+    usable = F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))
+    ids = labels.where(usable).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(max_train_docs)
-    seen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id").select("__id", "y", *features(F.col("__text")))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    seen = texts.join(F.broadcast(ids), "__id").select("__id", "y", *features(F.col("__text")))
     rows = seen.groupBy("__id").agg(F.max(F.struct("y", *FEATURES)).alias("r")).select("r.*").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([float(r["y"] == 1) for r in rows])
@@ -78,8 +81,9 @@ def _logit(p: Column) -> Column:
 
 def _strength(groups: DataFrame, mean: Column) -> float:
     """Prior strength by moments: the binomial spread over the spread between groups beyond it, from 1 to 1,000."""
-    rate = F.col("s") / F.col("n")
-    r = groups.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * (rate - mean) * (rate - mean)).alias("ss"), F.sum(mean * (1 - mean) * F.col("n")).alias("within"), F.sum(F.col("n") * F.col("n")).alias("n2")).first()
+    rate, n = F.col("s") / F.col("n"), F.col("n")
+    sums = {"n": n, "k": F.lit(1), "ss": n * (rate - mean) * (rate - mean), "within": mean * (1 - mean) * n, "n2": n * n}
+    r = groups.agg(*[F.sum(x).alias(name) for name, x in sums.items()]).first()
     if not r["n"] or r["k"] < 2:
         return 100.0
     eff = max(1e-9, r["n"] - r["n2"] / r["n"])
@@ -91,27 +95,41 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """One row per row of docs: id_col, host, path, evidence, host_quality, path_quality, score, kept.
 
-    Null hosts and paths are groups of their own; null texts count as empty; repeated rows count once each, as they stand
-    in the corpus.  The group sums are aggregated before any shuffle; see guarded() for their join back to documents, in
-    which one host may have most rows.  An empty table gives an empty table.
+    host_quality and path_quality are the posteriors of the whole groups; the score uses those without the document's own
+    evidence.  Null hosts and paths are groups of their own; null texts count as empty; very long texts count whole;
+    repeated rows count once each, as they stand in the corpus.  The group sums are aggregated before any shuffle; see
+    guarded() for their join back to documents, in which one host may have most rows.  Extra columns are ignored; an
+    empty table gives an empty table.
     """
     mean, scale, w = fit(docs, labels, max_train_docs, id_col, text_col)
-    raw = docs.select(F.col(id_col), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), *features(F.col(text_col)))
+    site = {"host": F.coalesce(host.cast("string"), F.lit("\0")), "path": F.coalesce(path.cast("string"), F.lit("\0"))}
+    raw = docs.select(F.col(id_col), *[c.alias(name) for name, c in site.items()], *features(F.col(text_col)))
     logit = F.lit(w[0])
     for f, m, s, c in zip(FEATURES, mean, scale, w[1:], strict=True):
         logit = logit + F.greatest(F.least((F.col(f) - m) / s, F.lit(5.0)), F.lit(-5.0)) * c
     scored = durable(raw.select(id_col, "host", "path", (1 / (1 + F.exp(-logit))).alias("evidence")), "quality-evidence")
-    paths = durable(scored.groupBy("host", "path").agg(F.sum("evidence").alias("s"), F.count("*").cast("double").alias("n")), "quality-paths")
+
+    sums = [F.sum("evidence").alias("s"), F.count("*").cast("double").alias("n")]
+    paths = durable(scored.groupBy("host", "path").agg(*sums), "quality-paths")
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     base = total["s"] / total["n"] if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     a = _strength(hosts, F.lit(base))
-    hosts = hosts.select("host", ((F.col("s") + a * base) / (F.col("n") + a)).alias("host_quality"))
+
+    def shrunk(s: Column, n: Column, strength: float, toward: Column) -> Column:
+        return (s + strength * toward) / (n + strength)
+
+    hosts = hosts.select("host", F.col("s").alias("host_s"), F.col("n").alias("host_n"), shrunk(F.col("s"), F.col("n"), a, F.lit(base)).alias("host_quality"))
     nested = paths.join(hosts, "host")
     b = _strength(nested, F.col("host_quality"))
-    groups = durable(nested.select("host", "path", "host_quality", ((F.col("s") + b * F.col("host_quality")) / (F.col("n") + b)).alias("path_quality")), "quality-groups")
+    quality = shrunk(F.col("s"), F.col("n"), b, F.col("host_quality")).alias("path_quality")
+    groups = durable(nested.select("host", "path", "host_s", "host_n", "s", "n", "host_quality", quality), "quality-groups")
+
     joined = scored.join(guarded(groups), ["host", "path"])
-    odds = _logit(F.col("evidence")) + _logit(F.col("path_quality")) - _logit(F.lit(base))
-    name = lambda c: F.when(F.col(c) == "\0", None).otherwise(F.col(c)).alias(c)
-    out = joined.select(id_col, name("host"), name("path"), "evidence", "host_quality", "path_quality", (1 / (1 + F.exp(-odds))).alias("score"))
+    own = F.col("evidence")
+    other_hosts = shrunk(F.col("host_s") - own, F.col("host_n") - 1, a, F.lit(base))
+    others = shrunk(F.col("s") - own, F.col("n") - 1, b, other_hosts)
+    odds = _logit(own) + _logit(others) - _logit(F.lit(base))
+    named = [F.when(F.col(c) == "\0", None).otherwise(F.col(c)).alias(c) for c in ("host", "path")]
+    out = joined.select(id_col, *named, "evidence", "host_quality", "path_quality", (1 / (1 + F.exp(-odds))).alias("score"))
     return out.withColumn("kept", F.col("score") >= threshold)

@@ -1,10 +1,12 @@
 """Each operator against a plain version on small inputs with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import base64
+import functools
 import hashlib
 import itertools
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -38,9 +40,9 @@ def nothing_broadcast(monkeypatch):
 
 
 def test_sizes_are_measured_in_bytes(spark):
-    assert common.bytes_of(spark.range(10)) == 10 * 32
+    assert common.bytes_of(spark.range(10)) == 10 * 80
     wide = spark.createDataFrame([("x" * 1000,), (None,)], "t string")
-    assert 2 * 32 + 1000 <= common.bytes_of(wide) <= 2 * 32 + 1050 and common.bytes_of(wide.limit(0)) == 0
+    assert 2 * 80 + 1000 <= common.bytes_of(wide) <= 2 * 80 + 1050 and common.bytes_of(wide.limit(0)) == 0
 
 
 # 1
@@ -289,10 +291,66 @@ def test_likelihood_ratio(spark):
     assert quality_rules.multinomials(src, spark.createDataFrame([], "doc_id long"), 8) == pytest.approx([0.0] * 8)
 
 
-def test_rules_keep_labelled_good_documents(spark):
-    rows = queries.op4_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").collect()
-    good = [r["kept"] for r in rows if r["quality"] == 1]
-    assert sum(good) / len(good) > 0.97
+@functools.cache
+def bucket_of(*words):
+    """Bucket of a word or of two: XXH64 of the text, and of the second word's hash seeded by the first's."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_word = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+    if len(words) == 1:
+        return of_word[0] % quality_rules.BUCKETS
+    first = xxhash.xxh64_intdigest(of_word[0].to_bytes(8, "little", signed=True), 42)
+    return signed(xxhash.xxh64_intdigest(of_word[1].to_bytes(8, "little", signed=True), first)) % quality_rules.BUCKETS
+
+
+def plain_verdicts(rows, trusted):
+    """{id: whole result row} of op4 for rows (id, text), by counters."""
+    size, grams = quality_rules.BUCKETS, {}
+    for i, text in rows:
+        ws = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+        grams[i] = Counter([bucket_of(w) for w in ws] + [bucket_of(*p) for p in itertools.pairwise(ws)])
+    raw = sum(grams.values(), Counter())
+    target = sum((grams[i] for i in grams if i in trusted), Counter())
+    p = {b: (n + 1) / (raw.total() + size) for b, n in raw.items()}
+
+    def score(own, without):
+        total = target.total() - without.total() + size
+        terms = [n * math.log((target[b] - without[b] + size * p[b]) / total / p[b]) for b, n in own.items()]
+        return sum(terms) / own.total() if own else 0.0
+
+    counts = {i: plain_rules(text) for i, text in rows}
+    failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
+    known = sorted(math.floor(score(grams[i], grams[i]) * 10_000) for i in grams if i in trusted and grams[i] and not failed[i])
+    threshold = known[int(0.01 * len(known))] / 10_000 if known else quality_rules.THRESHOLD
+    return {i: (*counts[i], failed[i], score(grams[i], Counter()), threshold) for i, _ in rows}
+
+
+def test_rules_query_equals_a_plain_version(spark, docs):
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    want = plain_verdicts([(r["doc_id"], r["text"]) for r in docs.collect()], trusted)
+    got = queries.op4_quality_rules(spark, SF).collect()
+    assert len(got) == len(want) and sum(r["kept"] for r in got) > 500 > sum(not r["base_failed"] and not r["kept"] for r in got) > 0
+    for r in got:
+        *base, llr, threshold = want[r["doc_id"]]
+        assert [r[c] for c in (*quality_rules.COUNTS, "base_failed")] == base and r["llr"] == pytest.approx(llr, abs=1e-6)
+        if abs(llr - threshold) > 2e-4:  # a bin, and what rounding may do at its border
+            assert r["kept"] == (not r["base_failed"] and llr >= threshold)
+
+
+def test_rules_keep_good_documents_that_were_not_trusted(spark, docs):
+    """Labels of the test fold neither make the target nor the threshold."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    other = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rated = quality_rules.verdicts(other, labels.where("quality = 1").where(~held_out(F.col("doc_id"))).select("doc_id"))
+    rows = rated.join(labels.where(held_out(F.col("doc_id"))), "doc_id").where("not base_failed").collect()
+    good, poor = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 300 and sum(good) / len(good) > 0.95 and len(poor) > 20 and sum(poor) / len(poor) < 0.05
+
+
+def test_rules_without_broadcasts_and_with_odd_rows(spark, nothing_broadcast):
+    odd = frame(spark, ODD + [(30, "good words " * 40)]).withColumns({c: F.lit(c) for c in ("kept", "llr", "hit", "g", "id")})
+    got = quality_rules.verdicts(odd, spark.createDataFrame([(30,), (30,), (None,)], "doc_id long")).collect()
+    assert len(got) == len(ODD) + 1 and all(r["base_failed"] or r["kept"] for r in got)
+    assert quality_rules.verdicts(odd.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
@@ -315,6 +373,67 @@ def test_quality_classifier(spark, docs):
     assert quality_classifier.classify(frame(spark, []), labels, F.col("h"), F.col("h")).count() == 0
 
 
+def plain_features(text):
+    text = text or ""
+    n = max(1, len(text))
+    ws = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    lines = text.split("\n")
+    share = lambda chars: sum(c in chars for c in text) / n
+    upper, letter = (sum(unicodedata.category(c).startswith(k) for c in text) for k in ("Lu", "L"))
+    return [
+        math.log1p(len(ws)), min(n / max(1, len(ws)), 50), 10 * share("#*$%&<>"), 5 * (1 - (len(text) - upper) / n), 10 * share("0123456789"),
+        5 * len(set(ws)) / max(1, len(ws)), len(set(lines)) / len(lines), 10 * share("|"), 10 * share("!"), (len(text) - (len(text) - letter)) / n,
+    ]
+
+
+def plain_posteriors(rows, fitted):
+    """[(id, evidence, host_quality, path_quality, score)] for rows (id, text, host, path)."""
+    mean, scale, w = (np.array(x) for x in fitted)
+    x = np.clip((np.array([plain_features(t) for _, t, _, _ in rows]) - mean) / scale, -5, 5)
+    e = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    hosts, paths = {}, {}
+    for k, (_, _, h, p) in enumerate(rows):
+        hosts.setdefault(h, []).append(k)
+        paths.setdefault((h, p), []).append(k)
+    base = e.mean()
+
+    def strength(groups, mean_of):
+        n = np.array([len(g) for g in groups.values()], float)
+        rate, mu = np.array([e[g].mean() for g in groups.values()]), np.array([mean_of(key) for key in groups])
+        if len(n) < 2:
+            return 100.0
+        within = (mu * (1 - mu) * n).sum() / n.sum()
+        between = max(0.0, ((n * (rate - mu) ** 2).sum() - len(n) * within) / max(1e-9, n.sum() - (n * n).sum() / n.sum()))
+        return min(1000.0, max(1.0, within / between - 1 if between > 1e-12 else 1000.0))
+
+    a = strength(hosts, lambda _: base)
+    host_q = {h: (e[g].sum() + a * base) / (len(g) + a) for h, g in hosts.items()}
+    b = strength(paths, lambda key: host_q[key[0]])
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for k, (i, _, h, p) in enumerate(rows):
+        own, path = hosts[h], paths[h, p]
+        rest = (e[own].sum() - e[k] + a * base) / (len(own) - 1 + a)
+        near = (e[path].sum() - e[k] + b * rest) / (len(path) - 1 + b)
+        score = 1 / (1 + math.exp(-(logit(e[k]) + logit(near) - logit(base))))
+        out.append((i, e[k], host_q[h], (e[path].sum() + b * host_q[h]) / (len(path) + b), score))
+    return out
+
+
+def test_quality_query_equals_a_plain_version(spark, docs):
+    fitted = quality_classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"], r["source"], f"{r['source']}/{r['lang']}") for r in docs.collect()]
+    want = sorted(plain_posteriors(rows, fitted))
+    got = sorted((r["doc_id"], r["evidence"], r["host_quality"], r["path_quality"], r["score"]) for r in queries.op5_quality_classifier(spark, SF).collect())
+    assert len(got) == len(want)
+    for x, y in zip(got, want, strict=True):
+        assert x == pytest.approx(y, rel=1e-6, abs=1e-9)
+
+
+def test_quality_without_broadcasts(spark, docs, nothing_broadcast):
+    test_quality_query_equals_a_plain_version(spark, docs)
+
+
 def test_sparse_sites_shrink(spark):
     good, bad = "Plain words make a fine line here.\n" * 3, "###$$$ %%% &&& *** ### $$$ %%%"
     rows = [(i, good if i % 3 else bad) for i in range(300)] + [(1000 + i, bad) for i in range(60)] + [(2000, bad)]
@@ -649,6 +768,13 @@ def test_links_lose_nothing(spark):
     assert {frozenset(g) for g in groups(got)} == {frozenset(signed(f) for f in g) for g in groups(want)}
 
 
+def test_many_fingerprints_with_one_word_lose_no_link(spark, monkeypatch):
+    """Every word counts as heavy, so all links of three bits come from the quarters."""
+    monkeypatch.setattr(simhash, "HEAVY", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    test_links_lose_nothing(spark)
+
+
 def groups(of):
     out = {}
     for k, v in of.items():
