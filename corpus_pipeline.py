@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import decontam, secrets, sentencepiece_sa, simhash, toxicity
-from evenkeel.llm.common import durable, free, new_path, table, without
+from evenkeel.llm.common import delete, durable, free, new_path, scratch, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other names and numbers, go; without an id each text is a document."""
     key = free(docs, "__key")
-    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.xxhash64("text").cast("string"))))
-    return without(keyed, durable(decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(key), "pipeline-leaks"), key).drop(key)
+    by_text = F.concat(F.lit("t"), F.xxhash64("text").cast("string"))
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), by_text))
+    found = decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(key)
+    return without(keyed, found, key).drop(key)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents.  When a stage is written, what it and the stage before it kept on disk is removed."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as made:
+            docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for path in last + made[:-1]:
+            delete(spark, path)
+        last = made[-1:]
     return docs
