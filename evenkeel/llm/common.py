@@ -45,6 +45,8 @@ def scratch() -> Iterator[list[str]]:
         yield made
     finally:
         _made.reset(token)
+        if (outer := _made.get()) is not None:
+            outer.extend(made)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

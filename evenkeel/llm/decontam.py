@@ -87,32 +87,35 @@ def _met(toks: DataFrame, plan: list[tuple[int, bool, DataFrame]]) -> DataFrame:
 
 
 def _candidates(met: DataFrame, min_cover: float) -> DataFrame:
-    """(id, item, n, covered, diag, windows, a, b): alignments to check.  Of each pair whose windows cover enough, these
-    are the diagonals that cover enough by themselves, and those with the most windows; they span items from a to b."""
+    """(id, item, n, covered, diag, windows, places): alignments to check.  Of each pair whose windows cover enough, these
+    are the diagonals that cover enough by themselves, and those with the most windows; places are the item's tokens that
+    windows of the diagonal cover."""
 
     def tokens_of(p: Column) -> Column:
         return F.sequence(p, p + F.col("width") - 1)
 
-    spread = F.size(F.array_distinct(F.flatten(F.transform("ips", tokens_of))))
-    places = F.collect_set("ipos").alias("ips")  # of one item: no more than it has tokens
-    cover = met.groupBy(*_KEY, "width").agg(places).select(*_KEY, spread.alias("covered"))
+    tokens_met = F.array_distinct(F.flatten(F.transform("ips", tokens_of)))
+    spread = F.size(tokens_met)
+    starts = F.collect_set("ipos").alias("ips")  # of one item: no more than it has tokens
+    cover = met.groupBy(*_KEY, "width").agg(starts).select(*_KEY, spread.alias("covered"))
     cover = cover.groupBy(*_KEY).agg(F.max("covered").alias("covered")).where(F.col("covered") >= F.col("n") * min_cover)
-    runs = met.groupBy(*_KEY, "width", "diag").agg(places)
-    span = [F.array_min("ips").alias("a"), (F.array_max("ips") + F.col("width")).alias("b")]
-    runs = durable(runs.select(*_KEY, "diag", F.size("ips").alias("windows"), *span, spread.alias("own")), "bench-runs")
+    runs = met.groupBy(*_KEY, "width", "diag").agg(starts)
+    runs = durable(runs.select(*_KEY, "diag", F.size("ips").alias("windows"), tokens_met.alias("places")), "bench-runs")
     most = runs.groupBy(*_KEY).agg(F.max("windows").alias("most")).toDF("id2", "item2", "n2", "most")
     most = cover.join(most, _same(cover, most, *_KEY)).select(*[F.col(c).alias(c + "2") for c in _KEY], "covered", "most")
-    kept = (F.col("own") >= F.col("n") * min_cover) | (F.col("windows") == F.col("most"))
+    kept = (F.size("places") >= F.col("n") * min_cover) | (F.col("windows") == F.col("most"))
     found = runs.join(most, _same(runs, most, *_KEY)).where(kept)
-    return durable(found.select(*_KEY, "covered", "diag", "windows", "a", "b"), "bench-candidates")
+    return durable(found.select(*_KEY, "covered", "diag", "windows", "places"), "bench-candidates")
 
 
 def _slots(aligned: DataFrame) -> DataFrame:
-    """n_slots and n_conflicts of alignments of itoks and toks.  A slot is a value of the item with what stands for it;
-    every further partner that either of the two has is a conflict."""
-    size = F.col("b") - F.col("a")
-    theirs = F.slice("toks", F.greatest(F.col("a") + F.col("diag"), F.lit(0)) + 1, size)
-    pairs = F.arrays_zip(F.slice("itoks", F.col("a") + 1, size).alias("x"), theirs.alias("y"))
+    """n_slots and n_conflicts of alignments of itoks and toks.  A slot is a value of the item, at a covered place, with
+    what stands for it; every further partner that either of the two has is a conflict."""
+
+    def pair(place: Column) -> Column:
+        return F.struct(F.get("itoks", place).alias("x"), F.get("toks", place + F.col("diag")).alias("y"))
+
+    pairs = F.transform("places", pair)
     at = [*_KEY, "covered", "windows", "diag"]
     slots = aligned.select(*at, F.array_distinct(F.filter(pairs, lambda p: _slot(p["x"]))).alias("slots"))
 

@@ -971,3 +971,16 @@ def test_a_repeated_id_is_one_training_row(spark):
     labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(again, labels) == toxicity.fit(docs, labels)
     assert quality_classifier.fit(again, labels) == quality_classifier.fit(docs, labels)
+
+
+def test_a_run_leaves_its_result_only(spark, tmp_path):
+    """Empty tables go through all stages, and nothing of what stages keep meanwhile stays on disk."""
+    import corpus_pipeline as cp
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    with common.scratch() as made:
+        out = cp.run(spark, str(tmp_path))
+        assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "ids", "n_ids", "n_chars_decoded", "exact"]
+    left = [p for p in made if common.exists(spark, p)]
+    assert not left or all("pipeline-sentencepiece" in p for p in left)
