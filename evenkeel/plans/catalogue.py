@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import canonical
-from ..models import STATS_FLOATS, STATS_INTS, DataReference
+from ..models import STATS_FLOATS, STATS_INTS
 from ..operators import chunks, counts, diff, scan, sniff
 from ..sources.provider import SparkSource
-from ..sources.results import SCHEMA
 from .checker import DataQualityChecker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +34,7 @@ EVENTS_2 = "SELECT * FROM events WHERE event_id % 13 <> 0 AND NOT (event_id % 2
 
 
 def _query(oracle: str | None = None):
+    """Registers a query, and the SQL that gives the same rows."""
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if oracle:
@@ -328,19 +328,3 @@ def sniff_chunked(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return _sniffed(out)
-
-
-@_query()
-def persisted_result_schema(spark, sf_dir):
-    """Names and types of a stored result, in order."""
-    return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(SCHEMA.fields)], "position int, column_name string, data_type string")
-
-
-@_query()
-def checker_samples_report(spark, sf_dir):
-    """A whole samples check of orders through the public interface: status and numbers."""
-    tables = {"orders": f"{sf_dir}/orders.parquet"}
-    source = SparkSource(spark, tables=tables, primary_keys={"orders": ["o_orderkey"]})
-    target = SparkSource(spark, tables={"orders": _sql(spark, sf_dir, ORDERS_2)})
-    status, _, stats, _ = DataQualityChecker(source, target).check_samples(DataReference("orders"), DataReference("orders"), tolerance_pct=2.0)
-    return spark.createDataFrame([(status, *[getattr(stats, k) for k in STATS_INTS], *[round(float(getattr(stats, k)), 5) for k in STATS_FLOATS])], ", ".join(["status string", *[f"{k} long" for k in STATS_INTS], *[f"{k} double" for k in STATS_FLOATS]]))

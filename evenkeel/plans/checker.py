@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import reduce
 
 import pandas as pd
@@ -42,14 +43,16 @@ class DataQualityChecker:
     """Runs checks and keeps count of them.
 
     source_engine, target_engine: SparkSource or SparkSession; the target is needed for all checks but sniff queries.
-    results_engine: where results go if a check is told to persist.
+    results_engine: where results go if a check is told to persist.  clock: tells the time from which recent changes are
+    counted back; the present, in UTC, if it isn't given.
     """
 
-    def __init__(self, source_engine, target_engine=None, default_exclude_recent_hours: int | None = 24, timezone: str = ct.DEFAULT_TZ, results_engine=None):
+    def __init__(self, source_engine, target_engine=None, default_exclude_recent_hours: int | None = 24, timezone: str = ct.DEFAULT_TZ, results_engine=None, clock: Callable[[], datetime] | None = None):
         self.source = SparkSource.of(source_engine)
         self.target = SparkSource.of(target_engine) if target_engine is not None else None
         self.default_exclude_recent_hours, self.timezone = default_exclude_recent_hours, timezone
         self.results = ResultStore(results_engine)
+        self.clock = clock or (lambda: datetime.now(UTC))
         self.reset_stats()
 
     def reset_stats(self) -> None:
@@ -197,7 +200,7 @@ class DataQualityChecker:
             windows = ck.date_chunks(start, end, chunk_size_days) if chunk_size_days is not None and day and start and end else None
             if chunk_size_days is not None and chunk_size_days <= 0:
                 raise ValueError("chunk_size_days must be positive")
-            pinned = F.lit(pd.Timestamp.now(tz="UTC").to_pydatetime())
+            pinned = F.lit(self.clock())
 
             def side(df: DataFrame) -> DataFrame:
                 df = scan.in_days(df, day, start, end, self.timezone)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from evenkeel.plans import catalogue
+from evenkeel.plans import catalogue, public_checks  # noqa: F401  which registers its queries
 
 SF = "/root/testdata/sf0.001"
 
