@@ -33,6 +33,7 @@ _CHUNK = 400_000  # characters indexed at a time
 _TEXTS = 3_000_000  # characters of texts handled at a time
 _CACHE = 250_000  # units remembered
 _LONG = 48  # units longer than this are merged with a heap
+_CELLS = 2_000_000  # places of units whose best paths are found together
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -271,15 +272,31 @@ class Codec:
         return np.array(at) + begin, np.array([size[i] for i in at])
 
     def _best_path(self, table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unigram: symbols on the best path, all units relaxed together, end by end; ties go to the longer last piece."""
+        """Unigram: symbols on the best path.  Units of like lengths are relaxed together, as many as _CELLS places hold."""
+        order, parts, i = np.argsort(size, kind="stable"), [], 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j + 1 - i) * (size[order[j]] + 1) <= _CELLS:
+                j += 1
+            parts.append(self._best_paths(table, begin, size, order[i:j]))
+            i = j
+        if not parts:
+            return (np.zeros(0, np.int64),) * 3
+        unit, pos, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pos, unit))
+        return unit[order], pos[order], length[order]
+
+    def _best_paths(self, table: np.ndarray, begin: np.ndarray, size: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for some units, in order of size, end by end; ties go to the longer last piece."""
         score = np.concatenate([self.m.scores, [-np.inf]])
         unknown = (self.m.scores[self.ids].min() if len(self.ids) else 0.0) - 10
+        begin, size = begin[units], size[units]
         longest = int(size.max(initial=0))
-        best = np.full((len(begin), longest + 1), -np.inf)
+        best = np.full((len(units), longest + 1), -np.inf)
         best[:, 0] = 0
-        back = np.ones((len(begin), longest + 1), np.int64)
+        back = np.ones((len(units), longest + 1), np.int16)
         for end in range(1, longest + 1):
-            u = np.flatnonzero(size >= end)
+            u = np.arange(np.searchsorted(size, end), len(units))
             for ln in range(1, min(self.longest, end) + 1):
                 gain = score[table[(begin[u] + end - ln) * self.longest + ln - 1]]
                 if ln == 1:
@@ -287,15 +304,13 @@ class Codec:
                 new = best[u, end - ln] + gain
                 better = new >= best[u, end]
                 best[u[better], end], back[u[better], end] = new[better], ln
-        rows: list[tuple[int, int, int]] = []
-        for u in range(len(begin)):
-            end, path = int(size[u]), []
-            while end > 0:
-                ln = int(back[u, end])
-                end -= ln
-                path.append((u, int(begin[u]) + end, ln))
-            rows += path[::-1]
-        return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+        # All paths are walked back together, a piece at a time.
+        at, out = size.astype(np.int64).copy(), []
+        while (live := np.flatnonzero(at > 0)).size:
+            step = back[live, at[live]].astype(np.int64)
+            at[live] -= step
+            out.append((units[live], begin[live] + at[live], step))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def _learn(self, units: list[str]) -> None:
         """Encode new units, which follow those encoded so far."""
@@ -386,7 +401,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text") ->
     """docs without text_col, with ids (array<int>), n_ids, n_chars_decoded and exact: whether decoding gives the text back.
 
     exact is false only for texts that hold the piece space character itself, which decodes to a space.  Null text
-    counts as empty: no ids, exact.  Input columns of the result's names are replaced, others pass through, repeated
+    counts as empty: no ids, exact.  Very long texts are encoded whole, a text at a time.  Input columns of the result's names are replaced, others pass through, repeated
     rows are encoded alike, an empty table gives an empty table; one pass, no shuffle.
     The model file (0.5 MB) is read on the driver and broadcast.
     """

@@ -83,6 +83,19 @@ def test_unigram_relaxation_is_the_best_path():
         assert sum(scores[i] for i in ids) == pytest.approx(sum(best(x) for x in re.findall("▁*[^▁]+", u)))
 
 
+def test_a_very_long_unit_of_a_unigram_model(monkeypatch):
+    """It is relaxed by itself, so memory follows its length and not the number of the units beside it."""
+    pieces = ["<unk>", "▁", "a", "b", "ab", "▁a"]
+    model = sentencepiece_sa.Model(pieces, np.array([0, -3.0, -2.0, -2.1, -2.5, -3.3]), np.array([2, 1, 1, 1, 1, 1]), False, True, 0)
+    texts = ["ab" * 30_000, *(f"{'ab' * k} b" for k in range(40)), "a"]
+    whole = sentencepiece_sa.Codec(model).encode(texts)
+    monkeypatch.setattr(sentencepiece_sa, "_CELLS", 1)
+    alone = sentencepiece_sa.Codec(model).encode(texts)
+    assert all((a == b).all() for a, b in zip(whole, alone, strict=True))
+    offsets, ids = whole
+    assert [sum(len(pieces[i]) for i in ids[a:b]) for a, b in itertools.pairwise(offsets)] == [len(t) + 1 for t in texts]
+
+
 # 2
 
 
