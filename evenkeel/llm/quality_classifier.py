@@ -42,7 +42,10 @@ def features(text: Column) -> list[Column]:
     ]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], list[float], list[float]]:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> tuple[list[float], list[float], list[float]]:
     """(means, scales, weights with the bias first) from labelled rows outside the held-out fold, at most max_train_docs by hash of the id.
 
     labels(id_col, quality): of repeated ids the smallest label counts.  Of documents with the same id the one with the
@@ -92,7 +95,10 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(min(1000.0, max(1.0, within / between - 1 if between > 1e-12 else 1000.0)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD, id_col: str = "doc_id",
+    text_col: str = "text", max_train_docs: int = MAX_TRAIN_DOCS,
+) -> DataFrame:
     """One row per row of docs: id_col, host, path, evidence, host_quality, path_quality, score, kept.
 
     host_quality and path_quality are the posteriors of the whole groups; the score uses those without the document's own

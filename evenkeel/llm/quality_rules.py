@@ -72,7 +72,10 @@ def multinomials(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id
     return _ratios(*_counts(_measured(_marked(docs, trusted, id_col, text_col), buckets), buckets))
 
 
-def verdicts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdicts(
+    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """rate() with the ratios of docs and trusted(id_col) and a threshold from the scores of all trusted documents.
 
     A trusted document that passes the base rules is scored with a target that lacks its own n-grams, which would raise

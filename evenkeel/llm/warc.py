@@ -40,7 +40,10 @@ def response_id(page_id: int | None, digest: str) -> str:
     return uuid.uuid5(_NAMES, f"{page_id}/{digest}").urn
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str, own_id: str) -> bytes:
+def record(
+    page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None,
+    revisit: bool, date: str, own_id: str,
+) -> bytes:
     """One WARC record, uncompressed.  The HTTP header states the length of the full payload in either case; a revisit
     needs no payload.  Page ids travel in a header of our own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
