@@ -20,7 +20,9 @@ def daily_counts(df: DataFrame, column: str, zone: str = "UTC") -> DataFrame:
 
 def aligned(source: DataFrame, target: DataFrame) -> DataFrame:
     """(dt, source_cnt, target_cnt) over the days of either side, 0 where a side has no rows: one exchange."""
-    both = source.select("dt", F.col("cnt").alias("source_cnt"), F.lit(0).cast("long").alias("target_cnt")).unionByName(target.select("dt", F.lit(0).cast("long").alias("source_cnt"), F.col("cnt").alias("target_cnt")))
+    cnt, none = F.col("cnt"), F.lit(0).cast("long")
+    left = source.select("dt", cnt.alias("source_cnt"), none.alias("target_cnt"))
+    both = left.unionByName(target.select("dt", none.alias("source_cnt"), cnt.alias("target_cnt")))
     return both.groupBy("dt").agg(F.sum("source_cnt").alias("source_cnt"), F.sum("target_cnt").alias("target_cnt"))
 
 

@@ -109,7 +109,10 @@ def stats(diff: DataFrame, values: list[str]) -> DataFrame:
 def breakdown(diff: DataFrame, values: list[str]) -> DataFrame:
     """(column_name, issue_count) of the values with a mismatch, most first."""
     counts = diff.where(mismatch()).agg(*[F.count_if(differs(v)).alias(f"c{i}") for i, v in enumerate(values)])
-    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(v).alias("column_name"), F.col(f"c{i}").alias("issue_count")) for i, v in enumerate(values)])).alias("r")) if values else counts.sparkSession.createDataFrame([], "r struct<column_name:string,issue_count:bigint>")
+    if not values:
+        return diff.sparkSession.createDataFrame([], "column_name string, issue_count bigint")
+    named = [F.struct(F.lit(v).alias("column_name"), F.col(f"c{i}").alias("issue_count")) for i, v in enumerate(values)]
+    rows = counts.select(F.explode(F.array(*named)).alias("r"))
     return rows.select("r.*").where("issue_count > 0").orderBy(F.desc("issue_count"), "column_name")
 
 

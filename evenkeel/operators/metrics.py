@@ -36,7 +36,9 @@ def sample_metrics(issues: Column) -> dict[str, Column]:
         "max_issue_pct": F.coalesce(F.array_max(some), F.lit(0.0)),
         "median_issue_pct": F.when(F.size(some) > 0, _middle(some)).otherwise(0.0),
     }
-    score = WEIGHT_DUPLICATES * out["dup_source_rows_pct"] + WEIGHT_DUPLICATES * out["dup_target_rows_pct"] + WEIGHT_ONE_SIDED * out["source_only_rows_pct"] + WEIGHT_ONE_SIDED * out["target_only_rows_pct"] + WEIGHT_ISSUES * out["issue_rows_pct"]
+    score = WEIGHT_DUPLICATES * out["dup_source_rows_pct"] + WEIGHT_DUPLICATES * out["dup_target_rows_pct"]
+    score += WEIGHT_ONE_SIDED * out["source_only_rows_pct"] + WEIGHT_ONE_SIDED * out["target_only_rows_pct"]
+    score += WEIGHT_ISSUES * out["issue_rows_pct"]
     out["final_diff_score"] = score
     out = {k: F.when(none, 100.0).otherwise(v) for k, v in out.items()}
     return out | {"final_score": 100.0 - out["final_diff_score"]}

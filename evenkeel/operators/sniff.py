@@ -19,8 +19,9 @@ def stats(df: DataFrame) -> DataFrame:
     """One row: checked, passed and issue rows, and the scores; no rows score 100."""
     bad = F.coalesce(F.col(flag_column(df)).cast("string") == XSNIFF_PASSED_VALUE_NO, F.lit(False))
     out = df.agg(F.count("*").alias("total_source_rows"), F.count_if(~bad).alias("passed_rows"), F.count_if(bad).alias("issue_rows"))
-    pct = F.when(F.col("total_source_rows") > 0, F.col("issue_rows").cast("double") / F.col("total_source_rows") * 100.0).otherwise(0.0)
-    return out.withColumn("issue_rows_pct", pct).withColumn("final_diff_score", F.col("issue_rows_pct")).withColumn("final_score", 100.0 - F.col("final_diff_score"))
+    some = F.col("total_source_rows") > 0
+    pct = F.when(some, F.col("issue_rows").cast("double") / F.col("total_source_rows") * 100.0).otherwise(0.0)
+    return out.select("*", pct.alias("issue_rows_pct"), pct.alias("final_diff_score"), (100.0 - pct).alias("final_score"))
 
 
 def breakdown(df: DataFrame) -> DataFrame:

@@ -47,7 +47,10 @@ class DataQualityChecker:
     counted back; the present, in UTC, if it isn't given.
     """
 
-    def __init__(self, source_engine, target_engine=None, default_exclude_recent_hours: int | None = 24, timezone: str = ct.DEFAULT_TZ, results_engine=None, clock: Callable[[], datetime] | None = None):
+    def __init__(
+        self, source_engine, target_engine=None, default_exclude_recent_hours: int | None = 24, timezone: str = ct.DEFAULT_TZ,
+        results_engine=None, clock: Callable[[], datetime] | None = None,
+    ):
         self.source = SparkSource.of(source_engine)
         self.target = SparkSource.of(target_engine) if target_engine is not None else None
         self.default_exclude_recent_hours, self.timezone = default_exclude_recent_hours, timezone
@@ -56,7 +59,8 @@ class DataQualityChecker:
         self.reset_stats()
 
     def reset_stats(self) -> None:
-        self.check_stats = {"checked": 0, ct.CHECK_SUCCESS: 0, ct.CHECK_FAILED: 0, ct.CHECK_SKIPPED: 0, "tables_success": set(), "tables_failed": set(), "tables_skipped": set(), "start_time": now(), "end_time": None}
+        outcomes = (ct.CHECK_SUCCESS, ct.CHECK_FAILED, ct.CHECK_SKIPPED)
+        self.check_stats = {"checked": 0, **dict.fromkeys(outcomes, 0), **{f"tables_{o}": set() for o in outcomes}, "start_time": now(), "end_time": None}
 
     # The frame around every check
 
@@ -70,7 +74,9 @@ class DataQualityChecker:
     def _run(self, kind: str, body: Callable, name, tags, persist, output, source_ref=None, target_ref=None, queries: dict | None = None) -> Outcome:
         output = rp.check_format(output)
         timings = CheckRunTimings(run_started_at=now())
-        run = {"run_id": new_run_id(), "started": timings.run_started_at, "version": ct.__version__, "source_type": self.source.dialect, "target_type": self.target.dialect if self.target and kind != ct.CHECK_TYPE_SNIFF_QUERY else None}
+        two = self.target is not None and kind != ct.CHECK_TYPE_SNIFF_QUERY
+        dialects = {"source_type": self.source.dialect, "target_type": self.target.dialect if two else None}
+        run = {"run_id": new_run_id(), "started": timings.run_started_at, "version": ct.__version__, **dialects}
         self.check_stats["checked"] += 1
         text = stats = details = None
         try:
@@ -85,14 +91,21 @@ class DataQualityChecker:
         self.check_stats["end_time"] = now()
         if source_ref:
             self.check_stats[f"tables_{status}"].add(source_ref.full_name)
-        full = lambda r: r.full_name if r else None
-        result = CheckResult(timestamp=run["started"], run_id=run["run_id"], check_type=kind, status=status, check_name=name, check_tags=tags, report=text, source_table=full(source_ref), target_table=full(target_ref), timezone=self.timezone, stats=stats, details=details, timings=timings, **(queries or {}))
+        tables = {side: ref.full_name if ref else None for side, ref in (("source_table", source_ref), ("target_table", target_ref))}
+        result = CheckResult(
+            timestamp=run["started"], run_id=run["run_id"], check_type=kind, status=status, check_name=name, check_tags=tags, report=text,
+            timezone=self.timezone, stats=stats, details=details, timings=timings, **tables, **(queries or {}),
+        )
         self.results.store(result, persist)
-        return status, result.to_json() if output == ct.REPORT_JSON and status != ct.CHECK_SKIPPED else text, stats, details
+        as_json = output == ct.REPORT_JSON and status != ct.CHECK_SKIPPED
+        return status, result.to_json() if as_json else text, stats, details
 
     # Keyed diffs
 
-    def _compare(self, source: DataFrame, target: DataFrame, keys: list[str], values: list[str], flagged: bool, chunked: bool, limit: int, timings: CheckRunTimings) -> tuple[CheckStats, CheckDetails]:
+    def _compare(
+        self, source: DataFrame, target: DataFrame, keys: list[str], values: list[str], flagged: bool, chunked: bool,
+        limit: int, timings: CheckRunTimings,
+    ) -> tuple[CheckStats, CheckDetails]:
         flag = ct.XRECENTLY_CHANGED_COLUMN if flagged else None
         extra = [c for c, used in ((flag, flagged), (_CHUNK, chunked)) if used]
 
@@ -175,10 +188,21 @@ class DataQualityChecker:
             log.warning("include_columns names no key; keys are added")
         if both := set(include) & set(exclude):
             log.warning("columns both included and excluded are left out: %s", sorted(both))
-        wanted = lambda c: (not include or c in include or c in keys) and (c not in exclude or c in keys)
+
+        def wanted(c: str) -> bool:
+            return c in keys or ((not include or c in include) and c not in exclude)
+
         return [c for c in source.columns if c in target.columns and wanted(c)]
 
-    def check_samples(self, source_table: DataReference, target_table: DataReference, check_name: str | None = None, date_column: str | None = None, update_column: str | None = None, date_range: tuple[str | None, str | None] | None = None, chunk_size_days: int | None = None, exclude_columns: list[str] | None = None, include_columns: list[str] | None = None, custom_primary_key: list[str] | None = None, tolerance_pct: float = 0.0, exclude_recent_hours: int | None = None, max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES, persist_result: bool | DataReference = False, check_tags: dict | None = None, report_output_format: str = ct.REPORT_TEXT) -> Outcome:
+    def check_samples(
+        self, source_table: DataReference, target_table: DataReference, check_name: str | None = None,
+        date_column: str | None = None, update_column: str | None = None,
+        date_range: tuple[str | None, str | None] | None = None, chunk_size_days: int | None = None,
+        exclude_columns: list[str] | None = None, include_columns: list[str] | None = None,
+        custom_primary_key: list[str] | None = None, tolerance_pct: float = 0.0, exclude_recent_hours: int | None = None,
+        max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES, persist_result: bool | DataReference = False,
+        check_tags: dict | None = None, report_output_format: str = ct.REPORT_TEXT,
+    ) -> Outcome:
         """Do the same keys carry the same values on both sides?
 
         date_range holds closed days, either may be None.  With chunk_size_days the windows are compared each for itself:
@@ -217,7 +241,13 @@ class DataQualityChecker:
 
         return self._run(ct.CHECK_TYPE_SAMPLES, body, check_name, check_tags, persist_result, report_output_format, source_table, target_table)
 
-    def check_custom_queries(self, source_query: str, source_params: dict | None, target_query: str, target_params: dict | None, custom_primary_key: list[str], check_name: str | None = None, chunk_size_days: int | None = None, exclude_columns: list[str] | None = None, tolerance_pct: float = 0.0, max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES, persist_result: bool | DataReference = False, check_tags: dict | None = None, report_output_format: str = ct.REPORT_TEXT) -> Outcome:
+    def check_custom_queries(
+        self, source_query: str, source_params: dict | None, target_query: str, target_params: dict | None,
+        custom_primary_key: list[str], check_name: str | None = None, chunk_size_days: int | None = None,
+        exclude_columns: list[str] | None = None, tolerance_pct: float = 0.0,
+        max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES, persist_result: bool | DataReference = False,
+        check_tags: dict | None = None, report_output_format: str = ct.REPORT_TEXT,
+    ) -> Outcome:
         """The same for the results of two queries with :name parameters.
 
         Rows flagged by a column xrecently_changed are left out if both sides have it.  With chunk_size_days, queries are
@@ -259,7 +289,13 @@ class DataQualityChecker:
 
     # Counts and rules
 
-    def check_counts(self, source_table: DataReference, target_table: DataReference, check_name: str | None = None, date_column: str | None = None, date_range: tuple[str | None, str | None] | None = None, chunk_size_days: int | None = None, tolerance_pct: float = 0.0, max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES, persist_result: bool | DataReference = False, check_tags: dict | None = None, report_output_format: str = ct.REPORT_TEXT) -> Outcome:
+    def check_counts(
+        self, source_table: DataReference, target_table: DataReference, check_name: str | None = None,
+        date_column: str | None = None, date_range: tuple[str | None, str | None] | None = None,
+        chunk_size_days: int | None = None, tolerance_pct: float = 0.0, max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES,
+        persist_result: bool | DataReference = False, check_tags: dict | None = None,
+        report_output_format: str = ct.REPORT_TEXT,
+    ) -> Outcome:
         """Do both sides have the same number of rows per day?
 
         Status and report go by the share of rows that one side has more; stats compare the days like rows of a sample.
@@ -299,7 +335,12 @@ class DataQualityChecker:
 
         return self._run(ct.CHECK_TYPE_COUNTS, body, check_name, check_tags, persist_result, report_output_format, source_table, target_table)
 
-    def check_sniff_query(self, source_query: str, source_params: dict | None = None, check_name: str | None = None, chunk_size_days: int | None = None, tolerance_pct: float = 0.0, max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES, persist_result: bool | DataReference = False, check_tags: dict | None = None, report_output_format: str = ct.REPORT_TEXT) -> Outcome:
+    def check_sniff_query(
+        self, source_query: str, source_params: dict | None = None, check_name: str | None = None,
+        chunk_size_days: int | None = None, tolerance_pct: float = 0.0, max_examples: int | None = ct.DEFAULT_MAX_EXAMPLES,
+        persist_result: bool | DataReference = False, check_tags: dict | None = None,
+        report_output_format: str = ct.REPORT_TEXT,
+    ) -> Outcome:
         """What share of a query's rows breaks a rule (xsniff_passed = 'n')?  An empty result passes."""
 
         def body(run: dict, timings: CheckRunTimings) -> Outcome:
