@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import NULL_TEXT
+from .names import named
 
 _BLANK = r"(?iU)^(none|nan|nat|\s*)$"
 _BLANK_LONGEST = 6  # of a text that is no white space: a word of four letters and a line end
@@ -114,7 +115,7 @@ def json_text(text: Column) -> Column:
 def canonical_frame(df: DataFrame, columns: list[str], zone: str = "UTC") -> DataFrame:
     """columns of df as canonical texts, under the same names."""
     session_zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-    return df.select(*[canonical(F.col(f"`{c}`"), df.schema[c].dataType, zone, session_zone).alias(c) for c in columns])
+    return df.select(*[canonical(named(c), df.schema[c].dataType, zone, session_zone).alias(c) for c in columns])
 
 
 def lower_names(df: DataFrame) -> DataFrame:

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import in_zone
+from ..functions.names import named
 from .metrics import counts_pct
 
 
 def daily_counts(df: DataFrame, column: str, zone: str = "UTC") -> DataFrame:
     """(dt, cnt): rows by day as yyyy-MM-dd; rows without a day are not counted."""
-    c = F.col(f"`{column}`")
+    c = named(column)
     if isinstance(df.schema[column].dataType, T.TimestampType):
         c = in_zone(c, zone, df.sparkSession.conf.get("spark.sql.session.timeZone"))
-    return df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.date_format(c, "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("cnt"))
+    return df.where(named(column).isNotNull()).groupBy(F.date_format(c, "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("cnt"))
 
 
 def aligned(source: DataFrame, target: DataFrame) -> DataFrame:

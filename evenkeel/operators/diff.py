@@ -9,29 +9,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
+from pyspark.sql import types
 from pyspark.sql.window import Window
 
 from ..constants import FLAG_VALUE_YES
 from ..errors import MetadataError
+from ..functions.names import named
 from ..models import STATS_INTS
 from .metrics import sample_metrics
 
 N_S, N_T, S, T = "__ns", "__nt", "__s", "__t"
-
-
 CLEAN = "__clean"
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
     """A column in a form that has an order: maps become their entries by key."""
-    c = F.col(f"`{name}`")
-    return (F.array_sort(F.map_entries(c)) if isinstance(df.schema[name].dataType, T_.MapType) else c).alias(name)
+    c = named(name)
+    return (F.array_sort(F.map_entries(c)) if isinstance(df.schema[name].dataType, types.MapType) else c).alias(name)
 
 
 def _side(df: DataFrame, keys: list[str], values: list[str], flag: str | None, tag: int) -> DataFrame:
     packed = F.struct(*[_comparable(df, v) for v in values]) if values else F.struct(F.lit(0).alias("__none"))
-    fresh = F.coalesce(F.col(f"`{flag}`") == FLAG_VALUE_YES, F.lit(False)) if flag else F.lit(False)
+    fresh = F.coalesce(named(flag) == FLAG_VALUE_YES, F.lit(False)) if flag else F.lit(False)
     return df.select(*[_comparable(df, k) for k in keys], packed.alias("__v"), fresh.alias("__fresh"), F.lit(tag).alias("__side"))
 
 
@@ -45,7 +44,7 @@ def keyed_diff(source: DataFrame, target: DataFrame, keys: list[str], values: li
             raise MetadataError(f"Key columns missing in {name}: {', '.join(missing)}")
     both = _side(source, keys, values, flag, 0).unionByName(_side(target, keys, values, flag, 1))
     here = lambda side: F.col("__side") == side
-    out = both.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+    out = both.groupBy(*[named(k) for k in keys]).agg(
         F.count_if(here(0)).alias(N_S),
         F.count_if(here(1)).alias(N_T),
         F.min(F.when(here(0), F.col("__v"))).alias(S),
@@ -60,7 +59,7 @@ def both_sides() -> Column:
 
 
 def differs(value: str) -> Column:
-    return ~F.col(f"{S}.`{value}`").eqNullSafe(F.col(f"{T}.`{value}`"))
+    return ~named(value, S).eqNullSafe(named(value, T))
 
 
 def mismatch() -> Column:
@@ -117,7 +116,7 @@ def breakdown(diff: DataFrame, values: list[str]) -> DataFrame:
 
 
 def keys_where(diff: DataFrame, keys: list[str], which: Column) -> DataFrame:
-    return diff.where(which).select(*[F.col(f"`{k}`") for k in keys])
+    return diff.where(which).select(*[named(k) for k in keys])
 
 
 def only_source() -> Column:
@@ -129,14 +128,14 @@ def only_target() -> Column:
 
 
 def _quoted(names: list[str]) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names]
+    return [named(n) for n in names]
 
 
 def value_examples(diff: DataFrame, keys: list[str], values: list[str], limit: int) -> DataFrame:
     """The first `limit` mismatches of each value by key: keys, column_name, source_value, target_value."""
 
     def one(v: str) -> Column:
-        sides = [F.col(f"{side}.`{v}`").cast("string").alias(name) for side, name in ((S, "source_value"), (T, "target_value"))]
+        sides = [named(v, side).cast("string").alias(name) for side, name in ((S, "source_value"), (T, "target_value"))]
         return F.struct(differs(v).alias("bad"), F.lit(v).alias("column_name"), *sides)
 
     rows = diff.where(mismatch()).select(*_quoted(keys), F.explode(F.array(*map(one, values))).alias("r")).where("r.bad")
@@ -151,8 +150,8 @@ def row_examples(diff: DataFrame, keys: list[str], values: list[str], pairs: int
     top = diff.where(mismatch()).orderBy(*last_first).limit(pairs)
 
     def side(flag: str, name: str) -> Column:
-        return F.struct(F.lit(flag).alias("xflg"), *[F.col(f"{name}.`{v}`").alias(v) for v in values])
+        return F.struct(F.lit(flag).alias("xflg"), *[named(v, name).alias(v) for v in values])
 
     rows = top.select(*_quoted(keys), F.explode(F.array(side("src", S), side("trg", T))).alias("r"))
-    rows = rows.select("r.xflg", *_quoted(keys), *[F.col(f"r.`{v}`") for v in values])
+    rows = rows.select("r.xflg", *_quoted(keys), *[named(v, "r") for v in values])
     return rows.orderBy(*last_first, "xflg")

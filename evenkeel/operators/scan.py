@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import FLAG_VALUE_YES, XRECENTLY_CHANGED_COLUMN
+from ..functions.names import named
 
 
 def in_days(df: DataFrame, column: str | None, start=None, end=None, zone: str = "UTC") -> DataFrame:
@@ -18,7 +19,7 @@ def in_days(df: DataFrame, column: str | None, start=None, end=None, zone: str =
     """
     if not column:
         return df
-    kind, c = df.schema[column].dataType, F.col(f"`{column}`")
+    kind, c = df.schema[column].dataType, named(column)
     session_zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def bound(day: str) -> Column:
@@ -42,4 +43,4 @@ def with_freshness(df: DataFrame, column: str | None, hours: int | None, now: Co
     """df with the flag xrecently_changed, if there are a column and hours to tell it from."""
     if not column or not hours:
         return df
-    return df.withColumn(XRECENTLY_CHANGED_COLUMN, freshness_flag(F.col(f"`{column}`").cast("timestamp"), hours, now))
+    return df.withColumn(XRECENTLY_CHANGED_COLUMN, freshness_flag(named(column).cast("timestamp"), hours, now))

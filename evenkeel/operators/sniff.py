@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..constants import XSNIFF_PASSED_COLUMN, XSNIFF_PASSED_VALUE_NO
+from ..functions.names import named
 
 
 def flag_column(df: DataFrame) -> str:
@@ -40,5 +41,5 @@ def stats_of(flags: list[Row]) -> dict[str, float]:
 def examples(df: DataFrame, limit: int) -> DataFrame:
     """The first rows that break the rule, with all their columns, in the order of these."""
     kinds = dict(df.dtypes)
-    order = [F.col(f"`{c}`") for c in df.columns if not kinds[c].startswith("map")]
+    order = [named(c) for c in df.columns if not kinds[c].startswith("map")]
     return df.where(F.col(flag_column(df)).cast("string") == XSNIFF_PASSED_VALUE_NO).orderBy(*order).limit(limit)

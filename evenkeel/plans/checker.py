@@ -24,6 +24,7 @@ from ..operators import counts, diff, scan, sniff
 from ..operators.metrics import status as status_of
 from ..sources.provider import SparkSource
 from ..sources.results import ResultStore
+from ..functions.names import named
 from . import report as rp
 
 log = logging.getLogger("evenkeel")
@@ -111,7 +112,7 @@ class DataQualityChecker:
 
         def side(df: DataFrame) -> DataFrame:
             zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-            texts = [canonical(F.col(f"`{c}`"), df.schema[c].dataType, self.timezone, zone).alias(c) for c in dict.fromkeys([*keys, *values])]
+            texts = [canonical(named(c), df.schema[c].dataType, self.timezone, zone).alias(c) for c in dict.fromkeys([*keys, *values])]
             return df.select(*texts, *extra)
 
         for label, df in (("source", source), ("target", target)):
@@ -154,7 +155,7 @@ class DataQualityChecker:
         def one(key: tuple):
             return key[0] if len(keys) == 1 else tuple(key)
 
-        by_key = [F.col(f"`{k}`") for k in keys]
+        by_key = [named(k) for k in keys]
         for name, (n, which) in wanted.items():
             if n:
                 rows = diff.keys_where(d, keys, which).distinct().orderBy(*by_key).limit(limit).collect()
@@ -229,7 +230,7 @@ class DataQualityChecker:
             def side(df: DataFrame) -> DataFrame:
                 df = scan.in_days(df, day, start, end, self.timezone)
                 df = scan.with_freshness(df, changed, hours, pinned)
-                return df.withColumn(_CHUNK, ck.chunk_id(F.col(f"`{day}`").cast("date"), start, chunk_size_days)) if windows else df
+                return df.withColumn(_CHUNK, ck.chunk_id(named(day).cast("date"), start, chunk_size_days)) if windows else df
 
             values = [c for c in columns if c not in keys]
             stats, details = self._compare(side(source), side(target), keys, values, bool(changed and hours), bool(windows), max_examples or 0, timings)

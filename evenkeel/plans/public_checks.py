@@ -62,6 +62,18 @@ def checker_samples_repeated_keys(spark, sf_dir):
     return _told(spark, status, stats)
 
 
+@_query(_with_status(_stats_sql(ORDERS, ORDERS_2, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_orderpriority"]), 1.0))
+def checker_samples_odd_names(spark, sf_dir):
+    """Columns whose names hold spaces, dots and quotes."""
+    odd = {"o_orderkey": "the key", "o_custkey": "a.b", "o_orderstatus": "say `so`", "o_orderpriority": "Preis in %"}
+    sides = []
+    for sql in (ORDERS, ORDERS_2):
+        df = _sql(spark, sf_dir, sql).select(*odd).toDF(*odd.values())
+        sides.append(SparkSource(spark, tables={"orders": df}, primary_keys={"orders": ["the key"]}))
+    status, _, stats, _ = DataQualityChecker(*sides).check_samples(DataReference("orders"), DataReference("orders"), tolerance_pct=1.0)
+    return _told(spark, status, stats)
+
+
 _RANGE = "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'"
 
 

@@ -14,6 +14,7 @@ from ..errors import MetadataError, QueryExecutionError
 from ..functions.normalize import json_text, lower_names
 from ..functions.params import STRING, render
 from ..models import DataReference, ObjectType
+from ..functions.names import named
 from .jdbc import KINDS, Database
 
 log = logging.getLogger("evenkeel")
@@ -69,7 +70,7 @@ class SparkSource:
         if not df.columns:
             raise MetadataError(f"{ref.full_name} has no columns")
         documents = {c.lower() for c in self.json_columns.get(ref.full_name, ())}
-        return df.withColumns({c: json_text(F.col(f"`{c}`")) for c in df.columns if c in documents}) if documents else df
+        return df.withColumns({c: json_text(named(c)) for c in df.columns if c in documents}) if documents else df
 
     def _with_tables(self, sql: str) -> str:
         """sql over the registered tables that it names, put in front of it as common table expressions."""
