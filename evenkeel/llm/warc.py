@@ -110,8 +110,8 @@ def write(
     """Write one record per row of pages to archives under folder; returns the manifest (file, records, bytes).
 
     Headers are fresh: records get ids of their own, and the time of writing unless date says another.  Null payloads
-    are empty, null URLs an empty header, null ids `none`; repeated rows are records of their own.  Payloads are written
-    whole.  Extra columns are ignored.  An empty table makes no archive.
+    are empty, null URLs an empty header, null ids `none`; ids are whole numbers, by contract; repeated rows are records
+    of their own.  Payloads are written whole, however long.  Extra columns are ignored.  An empty table makes no archive.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     marks = durable(revisits(pages, min_bytes, id_col, payload_col), "warc-revisits")

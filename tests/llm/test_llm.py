@@ -966,6 +966,36 @@ def test_columns_of_clashing_names(spark):
     assert [r["doc_id"] for r in without(src, spark.createDataFrame([(1,)], "doc_id long")).collect()] == [2]
 
 
+def test_columns_with_names_that_operators_use_inside(spark):
+    """Extra columns are ignored, whatever their names: results are those without them."""
+    names = ("id", "fp", "h", "item", "n", "toks", "diag", "evidence", "host", "path", "s", "n_tokens", "batch", "pid", "sha", "payload", "first", "tied", "size", "url2", "conv", "dist", "leaf", "branch", "__t", "__id")
+    rows = [(1, "one two three four five six seven eight nine"), (2, "one two three four five six seven eight nine"), (3, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(7, rows[0][1])], "item_id long, text string")
+    site = F.lit("a")
+    pages = lambda df: df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *[c for c in df.columns if c not in ("doc_id", "text")])
+
+    def archived(df):
+        folder = new_path(spark, "warc")
+        return warc.read(warc.write(pages(df), folder), folder).drop("date")
+
+    turns = lambda df: df.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit("user").alias("role"), "text", F.lit(1.0).alias("score"), *[c for c in df.columns if c not in ("doc_id", "text")])
+    every = {
+        "simhash": simhash.near_duplicates,
+        "leaks": lambda df: decontam.leaks(df, bench.withColumns({c: F.lit(c) for c in names if c in df.columns})),
+        "quality": lambda df: quality_classifier.classify(df, labels, site, site),
+        "archives": archived,
+        "chat": lambda df: chat.format_trees(turns(df)),
+    }
+    for name, run in every.items():
+        plain, clash = run(docs), run(wide)
+        assert plain.columns == clash.columns, name
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, clash.collect())), name
+        assert run(wide.limit(0)).count() == 0, name
+
+
 def test_pipeline_stages_keep_clashing_columns(spark, docs):
     import corpus_pipeline as cp
 
