@@ -80,7 +80,7 @@ def verdicts(
 
     A trusted document that passes the base rules is scored with a target that lacks its own n-grams, which would raise
     its score; the threshold is the quantile of these scores, to the bin below.  Texts are split and hashed once: their
-    counts and the buckets of their n-grams are stored, about half as large as the texts, and read for the rest.
+    counts and the buckets of their n-grams are stored, about as large as the compressed texts, and read for the rest.
     """
     measured = durable(_measured(_marked(docs, trusted, id_col, text_col), buckets), "quality-measured")
     raw, target = _counts(measured, buckets)
