@@ -319,18 +319,21 @@ class DataQualityChecker:
             # A row for each day: kept for the questions below.
             days = counts.aligned(side(self.source, source_table), side(self.target, target_table)).persist()
             timings.start("dataset_check")
-            total = counts.totals(days).first().asDict()
-            if total["counts_diff_pct"] is None:
-                raise _Skip
-            one, cnt = F.lit(1).cast("long"), lambda side: F.struct(F.col(f"{side}_cnt").alias("cnt"))
-            d = days.select("dt", one.alias(diff.N_S), one.alias(diff.N_T), cnt("source").alias(diff.S), cnt("target").alias(diff.T))
-            row = diff.stats(d, ["cnt"]).first()
-            stats, details = CheckStats(**{k: row[k] for k in STATS_INTS + STATS_FLOATS}), CheckDetails(evaluated_columns=["cnt"])
-            if row["issues"][0]:
-                details.issue_breakdown = pd.DataFrame([("cnt", row["issues"][0])], columns=["column_name", "issue_count"])
-                self._examples(d, ["dt"], ["cnt"], stats, True, max_examples or 0, details)
-            days.unpersist()
-            timings.end("dataset_check")
+            try:
+                total = counts.totals(days).first().asDict()
+                if total["counts_diff_pct"] is None:
+                    raise _Skip
+                one, cnt = F.lit(1).cast("long"), lambda side: F.struct(F.col(f"{side}_cnt").alias("cnt"))
+                d = days.select("dt", one.alias(diff.N_S), one.alias(diff.N_T), cnt("source").alias(diff.S), cnt("target").alias(diff.T))
+                row = diff.stats(d, ["cnt"]).first()
+                stats = CheckStats(**{k: row[k] for k in STATS_INTS + STATS_FLOATS})
+                details = CheckDetails(evaluated_columns=["cnt"])
+                if row["issues"][0]:
+                    details.issue_breakdown = pd.DataFrame([("cnt", row["issues"][0])], columns=["column_name", "issue_count"])
+                    self._examples(d, ["dt"], ["cnt"], stats, True, max_examples or 0, details)
+            finally:
+                days.unpersist()
+                timings.end("dataset_check")
             text = rp.count_report(total, details, run, (source_table.full_name, target_table.full_name))
             return status_of(total["counts_diff_pct"], tolerance_pct), text, stats, details
 
