@@ -81,7 +81,8 @@ class SparkSource:
         names |= {name: name for name in last if name in self.tables}
         parts, used = STRING.split(sql), {}
         for name in sorted(names, key=len, reverse=True):
-            word = re.compile(rf"(?<![\w.`]){re.escape(name)}(?![\w`])", re.IGNORECASE)
+            quoted = r"\.".join(f"`?{re.escape(part)}`?" for part in name.split("."))
+            word = re.compile(rf"(?<![\w.`]){quoted}(?![\w`])", re.IGNORECASE)
             if any(word.search(p) for p in parts if not p.startswith("'")):
                 used[name] = alias = name.replace(".", "__")
                 parts = [p if p.startswith("'") else word.sub(alias, p) for p in parts]

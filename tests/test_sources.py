@@ -94,6 +94,7 @@ def test_tables_of_equal_last_names_stay_apart(spark):
     source = SparkSource(spark, tables={"t": one, "x.t": two, "y.u": three})
     value = lambda sql: [tuple(r) for r in source.query(sql).collect()]
     assert value("SELECT v FROM t") == [(1,)] and value("SELECT x.t.v FROM x.t") == [(2,)]
+    assert value("SELECT v FROM `t`") == [(1,)] and value("SELECT v FROM `x`.`t`") == [(2,)] and value("SELECT T.v FROM T") == [(1,)]
     assert value("SELECT u.v, 'x.t' FROM u JOIN y.u AS w USING (v)") == [(3, "x.t")]
     assert value("-- a comment\nWITH w AS (SELECT v + 1 AS v FROM t) SELECT v FROM w -- the end") == [(2,)]
     assert spark.table("t").count() == 7  # the caller's own view
