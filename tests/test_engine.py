@@ -174,6 +174,7 @@ def test_counts_queries_and_results(checker, spark):
     assert [r["check_type"] for r in rows] == ["custom_queries", "sniff_query"] and len(rows[0]) == 46
     assert "id < 8" in rows[0]["source_query"] and rows[0]["check_tags_json"] == '{"a": 1}' and rows[1]["stats_issue_rows_pct"] == 10.0
     spark.sql("DROP TABLE stored_checks")
+    checker.check_samples(REF, REF)
     checked = checker.check_stats
     assert checked["checked"] == sum(checked[k] for k in ("success", "failed", "skipped")) and "t" in checked["tables_failed"]
 
