@@ -50,7 +50,8 @@ def _steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
     anc = F.when(F.col("there"), F.col("parent")).alias("anc")
-    now = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", anc, F.col("score").alias("total"), F.lit(1).cast("long").alias("n"))
+    one = F.lit(1).cast("long").alias("n")
+    now = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", anc, F.col("score").alias("total"), one)
     now, steps = durable(now, "chat-steps"), []
     most = int(math.log2(max(2, now.count()))) + 2
     for _ in range(most):
@@ -58,9 +59,12 @@ def _steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if not going.limit(1).count():
             break
         steps.append(going.select("conv", "node", "anc"))
-        over = now.select("conv", F.col("node").alias("anc"), F.col("anc").alias("to"), F.col("total").alias("more"), F.col("n").alias("m"))
-        # A node with very many descendants is one row on the right; see common.guarded() on hot keys.
-        moved = going.join(over, ["conv", "anc"]).select("conv", "node", F.col("to").alias("anc"), F.col("total") + F.col("more"), F.col("n") + F.col("m"))
+        above = [F.col("anc").alias("to"), F.col("total").alias("more"), F.col("n").alias("m")]
+        over = now.select("conv", F.col("node").alias("anc"), *above)
+        # A node with very many descendants is one row on the right.  Both sides are stored, so adaptive execution can
+        # split the many rows on the left.
+        sums = [F.col("total") + F.col("more"), F.col("n") + F.col("m")]
+        moved = going.join(over, ["conv", "anc"]).select("conv", "node", F.col("to").alias("anc"), *sums)
         now = durable(now.where("anc is null").unionAll(moved), "chat-steps")
     return steps, now.where("anc is null").select("conv", "node", "total", "n")
 
@@ -86,12 +90,13 @@ def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     (null: 0); branches are ranked by score, ties by the smaller leaf, and the best `branches` are kept (None: all).
     loss_spans lists (turn, start, end) of the assistant texts in formatted, turn_starts where each turn begins, both in
     code points.  Null roles and texts count as empty; a null conv_id is a conversation of its own; of repeated
-    (conv_id, node) the smallest row by role and text is taken; rows without a node are no messages; other columns are ignored; an empty table gives an empty
-    table.  Texts are never cut: the formatted conversation is one string, so one row holds a whole path by contract.
+    (conv_id, node) the smallest row by role and text is taken; rows without a node are no messages; other columns are
+    ignored; an empty table gives an empty table.  Texts are never cut: the formatted conversation is one string, so one row holds a whole path by contract.
     """
     kind = messages.schema["conv_id"].dataType
     conv = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id"), F.lit(0).cast(kind)).alias("id"))
-    empty = {"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "score": F.coalesce(F.col("score").cast("double"), F.lit(0.0))}
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("role", "text")}
+    empty = texts | {"score": F.coalesce(F.col("score").cast("double"), F.lit(0.0))}
     rows = messages.select(F.to_json(conv).alias("conv"), "conv_id", "node", "parent", *[c.alias(k) for k, c in empty.items()])
     first = F.min(F.struct("role", "text", "score", "parent", "conv_id")).alias("m")
     rows = durable(rows.where("node is not null").groupBy("conv", "node").agg(first).select("conv", "node", "m.*"), "chat-rows")

@@ -52,10 +52,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -7, formatted, then read back from the formatted text."""
     said = r"\### Assistant: </turn> ok"
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    ids = [F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")]
+    rows = table(spark, sf_dir, "conversations").select(*ids, "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(said).alias("text"))
     made = chat.format_trees(chat.as_tree(rows.unionByName(extra)))
-    read = made.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_spans"), F.col("turn_starts")).alias("loss"))
+    loss = chat.under_mask(F.col("formatted"), F.col("loss_spans"), F.col("turn_starts")).alias("loss")
+    read = made.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), loss)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -132,7 +135,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_chat, op4_quality_rules, op5_quality_classifier, op6_toxicity, op7_secrets, op8_warc, op9_simhash, op10_decontamination)}
+_ALL = (
+    op1_sentencepiece, op2_token_counts, op3_chat, op4_quality_rules, op5_quality_classifier,
+    op6_toxicity, op7_secrets, op8_warc, op9_simhash, op10_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _ESCAPED = r"regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')"
 ORACLE_SQL: dict[str, str] = {
