@@ -128,6 +128,15 @@ def guarded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
+def streamed(df: DataFrame) -> DataFrame:
+    """df, marked for a sort merge join, which holds neither side in memory: for tables that grow with the corpus.
+
+    Without the mark Spark broadcasts what it takes for small, but it knows a stored table by its compressed files only
+    and counts an explode as one row a row, so the real side can be many times as large and fill the driver.
+    """
+    return df.hint("merge")
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key is not among ids.  Only ids is hashed in memory; the texts stream through the join."""
     name = free(docs, "__gone")

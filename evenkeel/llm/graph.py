@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, new_path
+from .common import delete, new_path, streamed
+
+#: Edges beyond which no side of a join is left for Spark to broadcast.
+FEW = 100_000
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _contracted(now: DataFrame, n: int) -> DataFrame:
+    """The n edges of now after a large and a small star."""
+    side = streamed if n > FEW else lambda df: df
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    ends = [F.struct(F.col(x).alias("u"), F.col("m").alias("v")) for x in ("v", "u")]
+    return large.join(side(low), "u").select(F.explode(F.array(*ends)).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(u, v), root the smallest node of its component.
 
@@ -30,12 +44,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        ends = [F.struct(F.col(x).alias("u"), F.col("m").alias("v")) for x in ("v", "u")]
-        small = large.join(low, "u").select(F.explode(F.array(*ends)).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = _contracted(now, seen[0])
         nxt = new_path(spark, "edges")
         small.write.parquet(nxt)
         delete(spark, path)

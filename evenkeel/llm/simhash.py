@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, durable, free, guarded
+from .common import dealt, durable, free, guarded, streamed
 from .graph import components
 
 #: Fingerprints with one and the same word, beyond which they are told apart by quarters of the other word.
@@ -97,7 +97,7 @@ def _verified(ball: DataFrame, exact: DataFrame, *on: str) -> DataFrame:
     other = exact.select(*on, F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     three = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) == 3
     same = reduce(Column.__and__, [ball[c] == other[c] for c in on])
-    pairs = ball.join(other, same & three & (F.col("root") != F.col("root2")) & (F.col("fp") < F.col("fp2")))
+    pairs = ball.join(streamed(other), same & three & (F.col("root") != F.col("root2")) & (F.col("fp") < F.col("fp2")))
     return pairs.select(F.col("root").alias("u"), F.col("root2").alias("v"))
 
 
@@ -107,7 +107,7 @@ def links(fps: DataFrame) -> DataFrame:
     met = dealt(nodes).select("fp", _flips(64).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x")).alias("at"), "fp")
     low = met.groupBy("at").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 at most
     near = durable(low.select(F.explode("all").alias("u"), "v").where("u <> v").distinct(), "simhash-near")
-    first = durable(nodes.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-first")
+    first = durable(nodes.join(streamed(components(near).withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-first")
 
     def half(h: int) -> Column:
         return F.shiftrightunsigned("fp", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -125,7 +125,7 @@ def links(fps: DataFrame) -> DataFrame:
     heavy_pairs = _verified(near, _quarters(exact), "at", "quarter", "part")
     far = light_pairs.unionByName(heavy_pairs).distinct()
     joined = components(far).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return durable(first.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "simhash-roots")
+    return durable(first.join(streamed(joined), "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,10 +157,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fps = durable(src.mapInArrow(_hashed_fingerprints, "id long, fp long, h long"), "simhash-fps")
     keys = durable(fps.groupBy("id", "h", "fp").agg(F.count("*").alias("n")), "simhash-keys")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")).alias("x")
-    least = keys.groupBy("fp").agg(first).join(links(fps), "fp").select("root", "x.*")
+    least = keys.groupBy("fp").agg(first).join(streamed(links(fps)), "fp").select("root", "x.*")
     kept = durable(least.groupBy("root").agg(first).select("x.id", "x.h", "x.n"), "simhash-kept")
     stays = kept.select(F.col("id").alias("i2"), F.col("h").alias("h2"))
-    gone = keys.join(stays, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left_anti").select("id", "h")
+    gone = keys.join(streamed(stays), F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left_anti").select("id", "h")
     again = kept.where("n > 1").select("id", "h")
     off = durable(gone.unionByName(again).toDF("__i", "__h"), "simhash-gone")
     same = lambda x: key.eqNullSafe(x["__i"]) & (hashed == x["__h"])

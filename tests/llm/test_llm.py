@@ -817,6 +817,34 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def told(plans, df):
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    return df
+
+
+def broadcasts(plans):
+    """Joins of plans that broadcast a side and aren't anti or semi joins, the sides of which are measured first."""
+    return [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x and "LeftAnti" not in x and "LeftSemi" not in x]
+
+
+def test_growing_tables_of_links_are_not_broadcast(spark, monkeypatch):
+    """Spark takes all of them for small here, as it does with 300,000 documents under its usual threshold."""
+    plans = []
+    monkeypatch.setattr(simhash, "durable", lambda df, name: common.durable(told(plans, df), name))
+    monkeypatch.setattr(simhash, "components", lambda edges: graph.components(told(plans, edges)))
+    src = frame(spark, [(i, f"some words and the number {i % 7} of a line") for i in range(20)])
+    assert simhash.deduplicate(src).count() == len({plain_print(r["text"]) for r in src.collect()})
+    assert len(plans) > 5 and not broadcasts(plans)
+
+
+def test_many_edges_are_contracted_without_broadcasts(spark, monkeypatch):
+    plans, plain = [], graph._contracted
+    monkeypatch.setattr(graph, "FEW", 0)
+    monkeypatch.setattr(graph, "_contracted", lambda now, n: told(plans, plain(now, n)))
+    test_components(spark)
+    assert plans and not broadcasts(plans)
+
+
 # 10
 
 
