@@ -139,11 +139,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = durable(fingerprints(docs, id_col, text_col), "simhash-fps")
     root = links(fps)
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    by_root = root.join(least, "fp")
+    by_root = root.join(streamed(least), "fp")
     top = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = durable(root.join(top, "root").select("fp", "component_id"), "simhash-labels")
+    labels = durable(root.join(streamed(top), "root").select("fp", "component_id"), "simhash-labels")
     # Stored on both sides: adaptive execution can split the rows of a fingerprint that very many texts have.
-    return fps.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return fps.join(streamed(labels), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

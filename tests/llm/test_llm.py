@@ -837,6 +837,14 @@ def test_growing_tables_of_links_are_not_broadcast(spark, monkeypatch):
     assert len(plans) > 5 and not broadcasts(plans)
 
 
+def test_growing_tables_of_near_duplicates_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(simhash, "durable", lambda df, name: common.durable(told(plans, df), name))
+    src = frame(spark, [(i, f"some words and the number {i % 7} of a line") for i in range(20)])
+    assert told(plans, simhash.near_duplicates(src)).count() == 20
+    assert len(plans) > 5 and not broadcasts(plans)
+
+
 def test_many_edges_are_contracted_without_broadcasts(spark, monkeypatch):
     plans, plain = [], graph._contracted
     monkeypatch.setattr(graph, "FEW", 0)
