@@ -72,14 +72,14 @@ def problem() -> Column:
 
 
 def condensed(diff: DataFrame) -> DataFrame:
-    """The keys of a diff with a problem, and one row without a key whose column __clean counts all other keys.
+    """A diff whose keys without a problem keep nothing but a 1 in the column __clean, which is 0 for all others.
 
-    Both parts read the same exchange, so sources are read once.  stats() takes a condensed diff, too.
+    One pass with one outcome for a key, even where a side's values hang on the order of its rows.  stats() takes it, too.
     """
-    bad = diff.where(problem()).withColumn(CLEAN, F.lit(0).cast("long"))
-    counted = diff.where(~problem()).agg(F.count("*").alias(CLEAN))
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in diff.schema if f.name not in (N_S, N_T)]
-    return bad.unionByName(counted.select(CLEAN, *[F.lit(0).cast("long").alias(n) for n in (N_S, N_T)], *nothing))
+    told = diff.withColumn("__bad", problem())
+    bad = F.col("__bad")
+    kept = [F.when(bad, named(c)).otherwise(F.lit(0).cast("long") if c in (N_S, N_T) else None).alias(c) for c in diff.columns]
+    return told.select(*kept, F.when(bad, 0).otherwise(1).cast("long").alias(CLEAN))
 
 
 def stats(diff: DataFrame, values: list[str]) -> DataFrame:

@@ -225,6 +225,40 @@ def test_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def _condensed(monkeypatch) -> list:
+    """The diffs that checks keep from now on."""
+    kept, plain = [], diff.condensed
+    monkeypatch.setattr(diff, "condensed", lambda d: kept.append(plain(d)) or kept[-1])
+    return kept
+
+
+def test_grouped_sides_are_not_dealt_again(spark, monkeypatch):
+    """Queries that group by a whole-number key are compared where they are, in one pass: one exchange a side and no more."""
+    kept = _condensed(monkeypatch)
+    a = SparkSource(spark, tables={"a": spark.range(1000).selectExpr("id % 50 AS k", "id % 7 AS v")})
+    sql = "SELECT k, count(*) AS n, sum({}) AS v FROM a GROUP BY k"
+    stats = DataQualityChecker(a, a).check_custom_queries(sql.format("v"), {}, sql.format("v + IF(k = 4, 1, 0)"), {}, ["k"])[2]
+    assert (stats.comparable_rows, stats.passed_rows, stats.total_source_rows) == (50, 49, 50)
+    assert kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_whole_number_keys(spark, monkeypatch):
+    """Results are those of the keys' texts; clean keys keep nothing but that they are there."""
+    kept = _condensed(monkeypatch)
+    s = spark.createDataFrame([(None, "a"), (1, "a"), (2, "b"), (2, "a"), (10, "c"), (9, "x"), (7, "q")], "id int, v string")
+    t = spark.createDataFrame([(None, "z"), (1, "a"), (2, "a"), (10, "d"), (-3, "x"), (9, None), (100, "q"), (100, "q")], "id int, v string")
+    told = []
+    for kinds in (("string", "string"), ("int", "int"), ("smallint", "bigint"), ("string", "bigint")):
+        sides = [SparkSource(spark, tables={"t": df.withColumn("id", F.col("id").cast(kind))}) for df, kind in zip((s, t), kinds, strict=True)]
+        _, _, stats, d = DataQualityChecker(*sides).check_samples(REF, REF, custom_primary_key=["id"])
+        keys = (d.source_only_keys_examples, d.target_only_keys_examples, d.dup_source_keys_examples, d.dup_target_keys_examples)
+        told.append((stats, keys, d.issue_examples.values.tolist(), d.issue_row_examples.values.tolist()))
+        rows = kept[-1].where("__clean = 1").drop("__clean").collect()
+        assert [[*r] for r in rows] == [[None, 0, 0, None, None]] and kept[-1].where("__clean = 0").count() == 7
+    assert told[0][1] == (("7",), ("-3", "100"), ("2",), ("100",)) and told[0][2][0] == ["10", "v", "c", "d"]
+    assert all(x == told[0] for x in told[1:])
+
+
 @pytest.mark.parametrize("missing", ["tiktoken", "evenkeel.llm", "evenkeel.llm.queries", "corpus_pipeline"])
 def test_entry_points_survive_a_missing_import(missing):
     """Only what needs the missing module goes; the queries of the engine stay."""
